@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import chat, decontaminate, quality
 
 
 def queries() -> dict:
     return {
+        "op2_quality": quality.query,
         "op3_decontaminate": decontaminate.query,
+        "op6_chat_format": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.ORACLE_SQL,
+        "op6_chat_format": chat.ORACLE_SQL,
     }
