@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, quality
+from . import bpe, chat, decontaminate, quality, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality.query,
         "op3_decontaminate": decontaminate.query,
+        "op4_bpe": bpe.query,
+        "op5_token_counts": token_counts.query,
         "op6_chat_format": chat.query,
     }
 
