@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, token_counts
+from . import bpe, chat, decontaminate, quality, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.query,
         "op2_quality": quality.query,
         "op3_decontaminate": decontaminate.query,
         "op4_bpe": bpe.query,
