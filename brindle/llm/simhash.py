@@ -130,7 +130,9 @@ def _or(cols: list):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 2, seed: int = 42, bucket: int = 32, carry: bool = False) -> DataFrame:
-    """doc_id, fp, component_id for each row: the smallest doc_id that links of fingerprints reach, its own included.
+    """doc_id, fp, component, component_id for each row.
+
+    component is the component's smallest fingerprint; component_id the smallest doc_id in it, the row's own included.
 
     Rows with equal fingerprints, texts without words among them, are linked. A null doc_id counts as larger than any
     other; a component of null ids alone has a null component_id. Rows of one id are rows of their own. Extra columns
@@ -142,8 +144,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = connected_components(links(first.select("fp"), max_bits=max_bits, bucket=bucket), "simhash")
     groups = first.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = groups.join(lowest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(*(["doc"] if carry else []), "doc_id", "fp", "component_id")
+    named = groups.join(lowest, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp").select(*(["doc"] if carry else []), "doc_id", "fp", "component", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
