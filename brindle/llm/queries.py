@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, line_dedup, quality, simhash, token_counts
+from . import bpe, chat, decontaminate, line_dedup, quality, simhash, token_counts, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bpe": bpe.query,
         "op5_token_counts": token_counts.query,
         "op6_chat_format": chat.query,
+        "op7_warc": warc.query,
         "op9_line_dedup": line_dedup.query,
     }
 
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.ORACLE_SQL,
         "op6_chat_format": chat.ORACLE_SQL,
+        "op7_warc": warc.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
     }
