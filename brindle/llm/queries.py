@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, line_dedup, quality, simhash, token_counts, warc
+from . import bpe, chat, decontaminate, line_dedup, lm_scoring, quality, simhash, token_counts, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_chat_format": chat.query,
         "op7_warc": warc.query,
         "op9_line_dedup": line_dedup.query,
+        "op10_lm_scoring": lm_scoring.query,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.ORACLE_SQL,
         "op7_warc": warc.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_lm_scoring": lm_scoring.ORACLE_SQL,
     }
