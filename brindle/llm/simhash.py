@@ -1,10 +1,11 @@
 """SimHash near-dedup by deletion-variant signatures.
 
 Fingerprints of 64 bits are cut into two segments of 32. Fingerprints that differ by at most two bits (three, even)
-have a segment that differs by at most one, so each segment is indexed by its one-wildcard variants: the segment with
-one bit deleted, and which. An equality join of the variants finds the candidates and the bits that differ verify them.
+have a segment that differs by at most one, so each segment is indexed by itself and by its one-wildcard variants: the
+segment with one bit deleted, and which. An equality join finds the candidates, for a variant those with the other
+value of the deleted bit, and the bits that differ verify them.
 
-Where many fingerprints share a variant, pairs would grow with the square of their number. Members of such a bucket
+Where many fingerprints share an entry, pairs would grow with the square of their number. Members of such a bucket
 differ by at most the deleted bit in this segment, so their links are found by deleting bits of the other segment too:
 fingerprints that agree in all but two bits of the 64 are within two bits of each other, all of them, and linking each
 to the smallest loses no connection. That takes at most some 3,000 rows for a fingerprint, whatever a bucket's size.
@@ -68,49 +69,55 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _halves(fp) -> tuple:
-    """(segment, what is left) for both cuts."""
-    high, low = F.shiftrightunsigned(fp, _HALF), fp.bitwiseAND(F.lit(_LOW))
-    return ((0, high, low), (1, low, high))
+    """The two segments, with their numbers."""
+    return ((0, F.shiftrightunsigned(fp, _HALF)), (1, fp.bitwiseAND(F.lit(_LOW))))
 
 
-def _variants(segment, tag: int):
-    """The segment without bit i, and i: one long for each i."""
+#: A packed entry: side (0 or 1, the deleted bit; 2 for a whole segment) | kind | deleted bit | what is left.
+_SIDE, _KIND, _BIT = 60, 37, 32
 
-    def one(i: int):
+
+def _entries(segment, number: int) -> list:
+    """The segment itself and its variants: one long each."""
+
+    def variant(i: int):
         kept = F.shiftleft(F.shiftrightunsigned(segment, i + 1), i).bitwiseOR(segment.bitwiseAND(F.lit((1 << i) - 1)))
-        return F.lit((tag << 37) | (i << 32)).bitwiseOR(kept)
+        side = F.shiftleft(F.shiftright(segment, i).bitwiseAND(F.lit(1).cast("long")), _SIDE)
+        return F.lit((number << _KIND) | (i << _BIT)).bitwiseOR(kept).bitwiseOR(side)
 
-    return [one(i) for i in range(_HALF)]
+    return [F.lit((2 << _SIDE) | ((2 + number) << _KIND)).bitwiseOR(segment), *[variant(i) for i in range(_HALF)]]
 
 
 def links(prints: DataFrame, *, max_bits: int = 2, bucket: int = 32) -> DataFrame:
     """(a, b) between distinct fingerprints, b < a, within ``max_bits`` (0 to 2): enough of them to keep every connection.
 
     ``prints`` is one column of distinct longs, fp. All pairs of a bucket of up to ``bucket`` members are compared;
-    larger buckets are linked by two-wildcard signatures. Results are the same for any ``bucket``.
+    larger buckets are linked by two-wildcard signatures. Results mean the same for any ``bucket``.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments find up to two differing bits here")
     fp = F.col("fp")
     if max_bits == 0:
         return prints.select(fp.alias("a"), fp.alias("b")).where(F.lit(False))
-    keys = F.array(*[v for tag, segment, _ in _halves(fp) for v in _variants(segment, tag)])
-    index = prints.select("fp", F.explode(keys).alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    entries = F.array(*[e for number, segment in _halves(fp) for e in _entries(segment, number)])
+    index = prints.select("fp", F.explode(entries).alias("e")).select("fp", F.col("e").bitwiseAND(F.lit((1 << _SIDE) - 1)).alias("key"), F.shiftright("e", _SIDE).cast("byte").alias("side"))
+    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
+    sizes = sizes.where((F.col("n") > 1) & ((F.col("low") == 2) | (F.col("low") < F.col("high")))).select("key", "n")
     shared, _ = cut(index.join(sizes, "key"), "simhash-shared")
-    pairs = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
-    # A bucket's pairs: each member with those before it.
-    pairs = pairs.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("b"))
+    groups = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "side")).alias("m"))
+    other = lambda y: F.when(F.col("x.side") == 2, y["fp"] < F.col("x.fp")).otherwise((F.col("x.side") == 1) & (y["side"] == 0))
+    pairs = groups.select("m", F.explode("m").alias("x")).select(F.col("x.fp").alias("a"), F.explode(F.transform(F.filter("m", other), lambda y: y["fp"])).alias("b"))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
-    hot = shared.where(F.col("n") > bucket)
-    # From the key: which segment, and the deleted bit. One deleted bit in either segment; or two in the other one.
-    tag, bit = F.shiftright("key", 37).cast("int"), F.shiftright("key", 32).bitwiseAND(F.lit(31)).cast("int")
-    hot = hot.select("fp", tag.alias("tag"), F.when(tag == 0, bit + 32).otherwise(bit).alias("bit"), F.when(tag == 0, F.lit(0)).otherwise(F.lit(32)).alias("base"))
+    # A large bucket's links: the deleted bit and one of the other segment, or with this segment whole two of the other.
+    kind, bit = F.shiftright("key", _KIND), F.shiftright("key", _BIT).bitwiseAND(F.lit(31)).cast("int")
+    large = shared.where(F.col("n") > bucket).select("fp", kind.alias("kind"), bit.alias("bit"))
+    base = F.when(F.col("kind") % 2 == 0, F.lit(0)).otherwise(F.lit(32))
+    hot = large.where(F.col("kind") < 2).select("fp", F.when(F.col("kind") == 0, F.col("bit") + 32).otherwise(F.col("bit")).alias("bit"), base.alias("base"))
+    inner = large.where(F.col("kind") >= 2).select("fp", base.alias("base"))
     mask = lambda *bits: F.bitwise_not(_or([F.call_function("shiftleft", F.lit(1).cast("long"), b) for b in bits]))
     signature = lambda i, j: F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), fp.bitwiseAND(mask(i, j)).alias("rest"))
     crossed = hot.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: signature(F.col("bit"), F.col("base") + j))).alias("s"))
-    inner = hot.select("fp", "base").distinct()
     if max_bits == 2:
         inside = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(31)), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: signature(F.col("base") + i, F.col("base") + j))))
         signatures = crossed.unionByName(inner.select("fp", F.explode(inside).alias("s")))
@@ -119,7 +126,8 @@ def links(prints: DataFrame, *, max_bits: int = 2, bucket: int = 32) -> DataFram
     signatures = signatures.select("fp", "s.*")
     lowest = signatures.groupBy("i", "j", "rest").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
     stars = signatures.join(lowest, ["i", "j", "rest"]).where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    every = pairs.unionByName(stars)
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _or(cols: list):
