@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, line_dedup, lm_scoring, quality, simhash, token_counts, warc
+from . import bpe, chat, decontaminate, line_dedup, lm_scoring, quality, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.query,
         "op6_chat_format": chat.query,
         "op7_warc": warc.query,
+        "op8_suffix_dedup": suffix_dedup.query,
         "op9_line_dedup": line_dedup.query,
         "op10_lm_scoring": lm_scoring.query,
     }
