@@ -134,11 +134,13 @@ def semi_join(left: DataFrame, right: DataFrame, on: str, config: Config | None
         config = Config(capacity=max(1, keys.count()))
     if config.blocks() * 64 > broadcast_bytes:
         return left.join(keys, on, "left_semi")
-    bits = build(keys, [], on, config)
-    table = F.broadcast(bits.groupBy().agg(F.map_from_entries(F.collect_list(F.struct((F.col("block") * 8 + F.col("word")).alias("k"), F.col("bits")))).alias("_words")))
+    # All words in order, in one row of a size that was checked: a lookup is by place.
+    words = left.sparkSession.range(config.blocks() * 8).join(build(keys, [], on, config).select((F.col("block") * 8 + F.col("word")).alias("id"), "bits"), "id", "left")
+    row = words.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("_w"))
+    table = F.broadcast(row.select(F.transform("_w", lambda w: w["bits"]).alias("_words")))
     h = hashing.default(F.col(on))
     block = hashing.unsigned_mod(h, config.blocks())
-    passes = F.forall(positions(h), lambda p: F.coalesce(F.col("_words")[block * 8 + p["word"]], F.lit(0)).bitwiseAND(p["mask"]) == p["mask"])
+    passes = F.forall(positions(h), lambda p: F.get("_words", (block * 8 + p["word"]).cast("int")).bitwiseAND(p["mask"]) == p["mask"])
     return left.join(table).where(passes).drop("_words").join(keys, on, "left_semi")
 
 
