@@ -29,6 +29,9 @@ _GRAM = 8
 _RANGE = np.dtype([("low", "<i8"), ("high", "<i8")])
 #: A null id is smaller than any other.
 _NULL = -(1 << 63)
+_SUB_BITS = 16
+#: Window starts that are looked at together.
+_STEP = 1 << 19
 
 
 # ---- induced sorting
@@ -239,12 +242,12 @@ def least_by_window(runs: list[bytes], least: np.ndarray, width: int) -> list[np
     """For each run and each window of ``width`` bytes that starts in it: the least id of all runs that hold the window."""
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     # Symbols: 0 ends the text, 1 ends a run, bytes from 2.
-    t = np.ones(int(sizes.sum()) + len(runs) + 1, np.int64)
+    t = np.ones(int(sizes.sum()) + len(runs) + 1, np.int32)
     begins = np.cumsum(sizes + 1) - sizes - 1
     inside = np.ones(len(t), bool)
     inside[begins + sizes] = False
     inside[-1] = False
-    t[inside] = np.frombuffer(b"".join(runs), np.uint8).astype(np.int64) + 2
+    t[inside] = np.frombuffer(b"".join(runs), np.uint8).astype(np.int32) + 2
     t[-1] = 0
     sa = suffix_array(t, 258)
     common = permuted_prefixes(t, sa, width)
@@ -259,30 +262,28 @@ def least_by_window(runs: list[bytes], least: np.ndarray, width: int) -> list[np
 
 # ---- windows
 
-def window_names(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The name of the window at each place of a block, and whether a window of one document starts there."""
-    n = len(text)
-    if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    raw = text.tobytes()
-    grams = np.empty(n - _GRAM + 1, np.uint64)
-    for j in range(_GRAM):
-        part = np.frombuffer(raw, "<u8", (n - j) // 8, j)
-        grams[j::_GRAM] = part[: len(grams[j::_GRAM])]
-    grams = B.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-    span, size = width - _GRAM + 1, 1
-    low = grams
-    while 2 * size <= span:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < span:
-        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-    starts = np.concatenate([[0], ends[:-1]])
-    valid = np.zeros(n + 1, np.int64)
-    full = ends - starts >= width
-    np.add.at(valid, starts[full], 1)
-    np.add.at(valid, ends[full] - width + 1, -1)
-    return low, np.cumsum(valid)[: len(low)] > 0
+def window_names(text: bytes, ends: np.ndarray, width: int):
+    """Yields, for steps of the places of a block at which a whole window of one document starts: places, their names and
+    their documents."""
+    data = np.frombuffer(text, np.uint8)
+    for at in range(0, max(0, len(data) - width + 1), _STEP):
+        raw = text[at : at + _STEP + width - 1]
+        n = len(raw)
+        grams = np.empty(n - _GRAM + 1, np.uint64)
+        for j in range(_GRAM):
+            part = np.frombuffer(raw, "<u8", (n - j) // 8, j)
+            grams[j::_GRAM] = part[: len(grams[j::_GRAM])]
+        low = B.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+        span, size = width - _GRAM + 1, 1
+        while 2 * size <= span:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < span:
+            low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+        places = np.arange(at, at + len(low))
+        owner = np.searchsorted(ends, places, side="right")
+        valid = places + width <= ends[owner]
+        yield places[valid], low[valid], owner[valid]
 
 
 def _ids(ids: list) -> np.ndarray:
@@ -307,14 +308,15 @@ def _merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 def _block_keys(ids: list, ends: np.ndarray, text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of windows and digests of whole texts, with the least and the largest id."""
     numbers = _ids(ids)
-    names, valid = window_names(np.frombuffer(text, np.uint8), ends, width)
-    change = valid.copy()
-    owner = np.searchsorted(ends, np.arange(len(names)), side="right") if len(names) else np.zeros(0, np.int64)
-    change[1:] &= (names[1:] != names[:-1]) | (owner[1:] != owner[:-1]) | ~valid[:-1]
-    at = np.flatnonzero(change)
+    found, owners = [], []
+    for places, names, owner in window_names(text, ends, width):
+        first = np.ones(len(places), bool)
+        first[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+        found.append(names[first])
+        owners.append(owner[first])
     whole = _whole(ends, text)
-    keys = np.concatenate([names[at], whole[:, 0], whole[:, 1]])
-    each = np.concatenate([numbers[owner[at]], numbers, numbers])
+    keys = np.concatenate([*found, whole[:, 0], whole[:, 1]])
+    each = np.concatenate([*(numbers[o] for o in owners), numbers, numbers])
     return _merged(keys, each, each)
 
 
@@ -328,7 +330,7 @@ def _combine(order: np.ndarray, starts: np.ndarray, values: list[np.ndarray]) ->
 _RUNS = "block string, part int, kind int, data array<binary>"
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 8 << 20, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 4 << 20, shard_bytes: int = 1 << 20, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that stay, for each row.
 
     A byte goes if a string of ``width`` bytes (_GRAM at least) that covers it, in this document's text, also starts in
@@ -358,30 +360,32 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         whole = np.searchsorted(found, _whole(ends, text))
         first = range_of["low"][whole]
         copy = (first[:, 0] < numbers) & (first[:, 0] == first[:, 1])
-        names, valid = window_names(np.frombuffer(text, np.uint8), ends, width)
-        owner = np.searchsorted(ends, np.arange(len(names)), side="right") if len(names) else np.zeros(0, np.int64)
-        valid &= ~copy[owner] if len(names) else valid
-        at = np.flatnonzero(valid)
-        place = np.searchsorted(found, names[at])
-        shared = range_of["low"][place] < range_of["high"][place]
-        at = at[shared]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (names[at[1:]] != names[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
-        begin = at[new]
-        count = np.diff(np.append(np.flatnonzero(new), len(at)))
-        shard = (names[begin] >> np.uint64(64 - bits)).astype(np.int64)
-        of = numbers[owner[begin]] if len(begin) else np.zeros(0, np.int64)
-        held: dict[int, dict[bytes, list]] = {}
+        begins, counts, names_of, ids_of = [], [], [], []
+        for places, names, owner in window_names(text, ends, width):
+            place = np.searchsorted(found, names)
+            keep = ~copy[owner] & (range_of["low"][place] < range_of["high"][place])
+            places, names, owner = places[keep], names[keep], owner[keep]
+            new = np.ones(len(places), bool)
+            new[1:] = (places[1:] != places[:-1] + 1) | (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+            begins.append(places[new])
+            counts.append(np.diff(np.append(np.flatnonzero(new), len(places))))
+            names_of.append(names[new])
+            ids_of.append(numbers[owner[new]])
+        begin, count, of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (begins, counts, ids_of))
+        name = np.concatenate([*names_of, np.zeros(0, np.uint64)])
+        shard = (name >> np.uint64(64 - bits)).astype(np.int64)
+        sub = ((name << np.uint64(bits)) >> np.uint64(64 - _SUB_BITS)).astype(np.int64)
         index = np.empty(len(begin), np.int64)
-        for i, (a, c, p, d) in enumerate(zip(begin.tolist(), count.tolist(), shard.tolist(), of.tolist())):
+        held: dict[int, dict[bytes, list]] = {}
+        for i, (a, c, p, d, u) in enumerate(zip(begin.tolist(), count.tolist(), shard.tolist(), of.tolist(), sub.tolist())):
             known = held.setdefault(p, {})
-            entry = known.setdefault(text[a : a + c + width - 1], [len(known), d])
+            entry = known.setdefault(text[a : a + c + width - 1], [len(known), d, u])
             index[i] = entry[0]
             if d < entry[1]:
                 entry[1] = d
         rows = []
         for p, known in held.items():
-            rows.append((row["block"], p, 0, [B.squeeze(b"".join(known)), B.pack(np.array([len(k) for k in known], np.int64)), B.pack(np.array([e[1] for e in known.values()], np.int64))]))
+            rows.append((row["block"], p, 0, [B.squeeze(b"".join(known)), B.pack(np.array([len(k) for k in known], np.int64)), B.pack(np.array([e[1] for e in known.values()], np.int64)), B.pack(np.array([e[2] for e in known.values()], np.int64))]))
         rows.append((row["block"], -1, 1, [B.pack(x.astype(np.int64)) for x in (begin, count, shard, index)]))
         rows.append((row["block"], -1, 2, [B.pack(copy.astype(np.uint8))]))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.list_(pa.binary())))], names=["block", "part", "kind", "data"])
@@ -392,20 +396,30 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         rows = table.to_pylist()
         distinct: dict[bytes, int] = {}
         least: list[int] = []
+        subs: list[int] = []
         each = []
         for r in rows:
-            text, sizes, low = B.plain(r["data"][0]), B.unpack(r["data"][1], np.int64), B.unpack(r["data"][2], np.int64)
+            text, sizes, low, sub = B.plain(r["data"][0]), *(B.unpack(x, np.int64) for x in r["data"][1:])
             at, places = 0, []
-            for size, d in zip(sizes.tolist(), low.tolist()):
+            for size, d, u in zip(sizes.tolist(), low.tolist(), sub.tolist()):
                 k = distinct.setdefault(text[at : at + size], len(distinct))
                 at += size
                 if k == len(least):
                     least.append(d)
+                    subs.append(u)
                 elif d < least[k]:
                     least[k] = d
                 places.append(k)
             each.append(places)
-        found = least_by_window(list(distinct), np.array(least, np.int64), width)
+        # Sorted in parts by further bits of the name, so that memory doesn't follow the size of the shard.
+        found: list = [None] * len(distinct)
+        texts, low = list(distinct), np.array(least, np.int64)
+        cut_bits = max(0, (sum(map(len, texts)) // shard_bytes).bit_length())
+        part_of = np.array(subs, np.int64) >> (_SUB_BITS - min(cut_bits, _SUB_BITS))
+        order = np.argsort(part_of, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(part_of[order])) + 1):
+            for k, values in zip(group.tolist(), least_by_window([texts[k] for k in group.tolist()], low[group], width)):
+                found[k] = values
         return pa.table({"block": [r["block"] for r in rows], "part": pa.array([r["part"] for r in rows], pa.int32()), "kind": pa.array([0] * len(rows), pa.int32()), "data": pa.array([[B.pack(np.concatenate([found[k] for k in places])), B.pack(np.array([len(found[k]) for k in places], np.int64))] for places in each], pa.list_(pa.binary()))})
 
     replies = runs.where("kind = 0").groupBy("part").applyInArrow(shard_of, _RUNS)
@@ -419,7 +433,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         told = {(r["part"], r["kind"]): r["data"] for r in right.to_pylist()}
         begin, count, shard, index = (B.unpack(x, np.int64) for x in told[-1, 1])
         copy = B.unpack(told[-1, 2][0], np.uint8).astype(bool)
-        cover = np.zeros(len(text) + 1, np.int64)
+        cover = np.zeros(len(text) + 1, np.int32)
         for p in np.unique(shard).tolist():
             values, sizes = (B.unpack(x, np.int64) for x in told[p, 0])
             offsets = np.cumsum(sizes) - sizes
@@ -431,14 +445,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
             gone = place[low < numbers[np.searchsorted(ends, place, side="right")]]
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + width, -1)
-        removed = np.cumsum(cover)[:-1] > 0
+        removed = np.cumsum(cover, dtype=np.int32)[:-1] > 0
         for i in np.flatnonzero(copy & (ends - starts >= width)).tolist():
             removed[starts[i] : ends[i]] = True
         opens = removed.copy()
         opens[1:] &= ~removed[:-1]
         inner = starts[starts < ends]  # documents with bytes: a span never goes on from the one before
         opens[inner] = removed[inner]
-        totals = lambda m: (lambda c: c[ends] - c[starts])(np.concatenate([[0], np.cumsum(m)]))
+        totals = lambda m: (lambda c: c[ends] - c[starts])(np.concatenate([[0], np.cumsum(m, dtype=np.int64)]))
         kept = [text[a:b][~removed[a:b]].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
         out = [ids, (ends - starts).tolist(), totals(removed).tolist(), totals(opens).tolist(), [hashlib.sha256(k).hexdigest() for k in kept], kept]
         return pa.table({name: pa.array(v, t) for (name, _, t), v in zip(columns, out)})
