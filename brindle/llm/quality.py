@@ -158,9 +158,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     The counts are written to the shared folder (a narrow row for each document), since references and verdict read
     them; a reference has a row for each list in COMMON and one more, so it is broadcast.
     """
-    counts, _ = cut(features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=carry), "quality")
-    counts = counts.withColumn("n_chars", F.aggregate("classes", F.lit(0).cast("long"), lambda s, v: s + v))
-    narrow = counts.drop("doc")
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda s, v: s + v)
+    narrow, _ = cut(features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
+    narrow = narrow.withColumn("n_chars", total)
+    # With whole rows, counting again is cheaper than writing them once more.
+    counts = features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=True).withColumn("n_chars", total) if carry else narrow
     first = _reference(narrow.where(~base_failed(min_words, max_repeat) & (F.col("n_chars") >= min_chars)))
     limits = (min_chars, min_common, max_class, max_word, max_both)
     fit = _measured(narrow.where(~base_failed(min_words, max_repeat) & (F.col("n_chars") >= min_chars)), first, *limits).where(~F.col("far"))

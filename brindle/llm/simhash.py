@@ -146,14 +146,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other; a component of null ids alone has a null component_id. Rows of one id are rows of their own. Extra columns
     stay inside doc (with ``carry``) or are left out. An empty table gives none.
     """
-    prints, _ = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, carry=carry), "simhash-prints")
+    options = {"id_col": id_col, "text_col": text_col, "shingle": shingle, "seed": seed}
+    prints, _ = cut(fingerprints(docs, **options), "simhash-prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first, _ = cut(first, "simhash-distinct")
     nodes = connected_components(links(first.select("fp"), max_bits=max_bits, bucket=bucket), "simhash")
     groups = first.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(lowest, "component").select("fp", "component", "component_id")
-    return prints.join(named, "fp").select(*(["doc"] if carry else []), "doc_id", "fp", "component", "component_id")
+    # With whole rows, fingerprints are computed again rather than written with the rows.
+    rows = fingerprints(docs, **options, carry=True) if carry else prints
+    return rows.join(named, "fp").select(*(["doc"] if carry else []), "doc_id", "fp", "component", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
