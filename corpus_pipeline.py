@@ -42,7 +42,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), results=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), carry=True)
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), results=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), slice_bytes=2 << 20, carry=True)
     return out.select("doc_id", "doc.lang", "doc.source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
