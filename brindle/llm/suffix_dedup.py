@@ -31,7 +31,7 @@ _RANGE = np.dtype([("low", "<i8"), ("high", "<i8")])
 _NULL = -(1 << 63)
 _SUB_BITS = 16
 #: Window starts that are looked at together.
-_STEP = 1 << 19
+_STEP = 1 << 18
 
 
 # ---- induced sorting
@@ -330,7 +330,7 @@ def _combine(order: np.ndarray, starts: np.ndarray, values: list[np.ndarray]) ->
 _RUNS = "block string, part int, kind int, data array<binary>"
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 4 << 20, shard_bytes: int = 1 << 20, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 2 << 20, shard_bytes: int = 256 << 10, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that stay, for each row.
 
     A byte goes if a string of ``width`` bytes (_GRAM at least) that covers it, in this document's text, also starts in
