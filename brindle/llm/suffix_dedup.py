@@ -1,7 +1,8 @@
 """Suffix-array dedup: strings of 50 bytes that an earlier document has, found by suffix arrays from induced sorting.
 
 Documents are packed into blocks. What can repeat is found first: a window of 50 bytes is named by the least hash of
-the 8-byte strings in it, so equal windows have equal names, and a name that only one document has needs no more work.
+the 24-byte strings in it, so equal windows have equal names, and a name that only one document has needs no more work.
+Shorter strings than these are shared by documents that have nothing but a phrase in common.
 The windows with other names, as runs of one name, go to the shard that owns the name; equal runs go once for each
 block, with the least document id. A shard sorts all suffixes of its distinct runs: suffixes are classified, leftmost
 smaller ones (LMS) bucketed, their substrings sorted by induction and named, recursively while names repeat, and the whole array
@@ -26,12 +27,13 @@ from . import blocks as B
 from .common import cut
 
 _GRAM = 8
-_RANGE = np.dtype([("low", "<i8"), ("high", "<i8")])
+#: Answer to a key that no two documents share.
+_ALONE = (1 << 63) - 1
 #: A null id is smaller than any other.
 _NULL = -(1 << 63)
 _SUB_BITS = 16
 #: Window starts that are looked at together.
-_STEP = 1 << 18
+_STEP = 1 << 16
 
 
 # ---- induced sorting
@@ -161,60 +163,54 @@ def _suffix_list(t: list[int], size: int) -> list[int]:
     n = len(t)
     if n == 1:
         return [0]
-    small = [False] * n
-    small[-1] = True
-    for i in range(n - 2, -1, -1):
-        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    counts = [0] * size
-    for c in t:
-        counts[c] += 1
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tails, total = [], 0
-        for k in counts:
-            total += k
-            tails.append(total)
-        heads = [e - k for e, k in zip(tails, counts)]
-        at = tails[:]
-        for i in reversed(order):
-            c = t[i]
-            at[c] -= 1
-            sa[at[c]] = i
-        for k in range(n):
-            j = sa[k] - 1
-            if j >= 0 and not small[j]:
-                c = t[j]
-                sa[heads[c]] = j
-                heads[c] += 1
-        at = tails
-        for k in range(n - 1, -1, -1):
-            j = sa[k] - 1
-            if j >= 0 and small[j]:
-                c = t[j]
-                at[c] -= 1
-                sa[at[c]] = j
+    array = np.array(t, np.int64)
+    kinds = _types(array)
+    before = np.arange(-1, n - 1)
+    # What stands before each suffix, if that is larger (smaller) than the suffix after it; the end otherwise.
+    larger = np.where(kinds[before], n, before).tolist()
+    smaller = np.where(kinds[before], before, n).tolist()
+    larger[0] = smaller[0] = n
+    is_lms = np.zeros(n, bool)
+    is_lms[1:] = kinds[1:] & ~kinds[:-1]
+    lms = np.flatnonzero(is_lms)
+    counts = np.bincount(array, minlength=size)
+    ends = np.cumsum(counts)
+
+    def induce(order: np.ndarray) -> list[int]:
+        filled = np.full(n, -1, np.int64)
+        o, within, found = _grouped(array[order], size)
+        filled[(ends - found)[array[order[o]]] + within] = order[o]
+        sa = filled.tolist()
+        heads = (ends - counts).tolist()
+        for i in sa:
+            if i >= 0:
+                j = larger[i]
+                if j < n:
+                    c = t[j]
+                    h = heads[c]
+                    sa[h] = j
+                    heads[c] = h + 1
+        tails = ends.tolist()
+        k = n
+        while k:
+            k -= 1
+            i = sa[k]
+            if i >= 0:
+                j = smaller[i]
+                if j < n:
+                    c = t[j]
+                    tails[c] = h = tails[c] - 1
+                    sa[h] = j
         return sa
 
-    sa = induce(lms)
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    after = dict(zip(lms, lms[1:] + [n - 1]))
-    name_of: dict[int, int] = {}
-    name, before = -1, None
-    for i in sa:
-        if is_lms[i]:
-            part = t[i : after[i] + 1]
-            name += part != before
-            before = part
-            name_of[i] = name
-    if name + 1 < len(lms):
-        lms_sorted = [lms[i] for i in _suffix_list([name_of[i] for i in lms], name + 1)]
-    else:
-        lms_sorted = sorted(lms, key=name_of.__getitem__)
-    return induce(lms_sorted)
+    sa = np.array(induce(lms), np.int64)
+    sorted_lms = sa[is_lms[sa]]
+    names = _names(array, lms, sorted_lms)
+    if names[-1] + 1 < len(lms):
+        name_of = np.empty(n, np.int64)
+        name_of[sorted_lms] = names
+        sorted_lms = lms[_suffix_list(name_of[lms].tolist(), int(names[-1]) + 1)]
+    return induce(sorted_lms)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -262,28 +258,46 @@ def least_by_window(runs: list[bytes], least: np.ndarray, width: int) -> list[np
 
 # ---- windows
 
-def window_names(text: bytes, ends: np.ndarray, width: int):
-    """Yields, for steps of the places of a block at which a whole window of one document starts: places, their names and
-    their documents."""
-    data = np.frombuffer(text, np.uint8)
-    for at in range(0, max(0, len(data) - width + 1), _STEP):
+def window_runs(text: bytes, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of whole windows with one name in one document of a block: first places, lengths, names and documents."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    last = ends - width  # the last window of each document
+    words = max(1, width // 2 // _GRAM)
+    found, names = [], []
+    for at in range(0, max(0, len(text) - width + 1), _STEP):
         raw = text[at : at + _STEP + width - 1]
         n = len(raw)
         grams = np.empty(n - _GRAM + 1, np.uint64)
         for j in range(_GRAM):
             part = np.frombuffer(raw, "<u8", (n - j) // 8, j)
             grams[j::_GRAM] = part[: len(grams[j::_GRAM])]
-        low = B.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-        span, size = width - _GRAM + 1, 1
+        low = one = B.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+        for k in range(1, words):
+            low = low[:-_GRAM] * np.uint64(0x9E3779B97F4A7C15) + one[_GRAM * k :]
+        if words > 1:
+            low = B.mix(low)
+        span, size = width - words * _GRAM + 1, 1
         while 2 * size <= span:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
         if size < span:
             low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-        places = np.arange(at, at + len(low))
-        owner = np.searchsorted(ends, places, side="right")
-        valid = places + width <= ends[owner]
-        yield places[valid], low[valid], owner[valid]
+        new = np.ones(len(low), bool)
+        new[1:] = low[1:] != low[:-1]
+        # Documents begin anew; a run goes on into the windows across its document's end, which are cut off below.
+        inner = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + len(low))] - at
+        new[inner] = True
+        places = np.flatnonzero(new)
+        found.append(places + at)
+        names.append(low[places])
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), none
+    begin, name = np.concatenate(found), np.concatenate(names)
+    owner = np.searchsorted(ends, begin, side="right")
+    count = np.minimum(np.append(begin[1:], len(text) - width + 1), last[owner] + 1) - begin
+    whole = count > 0
+    return begin[whole], count[whole], name[whole], owner[whole]
 
 
 def _ids(ids: list) -> np.ndarray:
@@ -305,32 +319,23 @@ def _merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return keys[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
 
 
-def _block_keys(ids: list, ends: np.ndarray, text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of windows and digests of whole texts, with the least and the largest id."""
-    numbers = _ids(ids)
-    found, owners = [], []
-    for places, names, owner in window_names(text, ends, width):
-        first = np.ones(len(places), bool)
-        first[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-        found.append(names[first])
-        owners.append(owner[first])
-    whole = _whole(ends, text)
-    keys = np.concatenate([*found, whole[:, 0], whole[:, 1]])
-    each = np.concatenate([*(numbers[o] for o in owners), numbers, numbers])
-    return _merged(keys, each, each)
+def _block_keys(numbers: np.ndarray, whole: np.ndarray, names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of runs and digests of whole texts, with the least and the largest id."""
+    each = np.concatenate([numbers[owner], numbers, numbers])
+    return _merged(np.concatenate([names, whole[:, 0], whole[:, 1]]), each, each)
 
 
 def _combine(order: np.ndarray, starts: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
-    out = np.empty(len(starts), _RANGE)
-    out["low"] = np.minimum.reduceat(values[0][order], starts)
-    out["high"] = np.maximum.reduceat(values[1][order], starts)
-    return out
+    """The least id of each key that several ids have, from least ids and what the largest have above them."""
+    low, above = values[0][order], values[1][order]
+    least = np.minimum.reduceat(low, starts)
+    return np.where(least < np.maximum.reduceat(low + above, starts), least, _ALONE)
 
 
 _RUNS = "block string, part int, kind int, data array<binary>"
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 2 << 20, shard_bytes: int = 256 << 10, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 2 << 20, shard_bytes: int = 128 << 10, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that stay, for each row.
 
     A byte goes if a string of ``width`` bytes (_GRAM at least) that covers it, in this document's text, also starts in
@@ -344,35 +349,25 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     bits = parts.bit_length() - 1
 
     def keys(ids, ends, text):
-        found, low, high = _block_keys(ids, ends, text, width)
-        return found, [low, high]
+        _, _, names, owner = window_runs(text, ends, width)
+        found, low, high = _block_keys(_ids(ids), _whole(ends, text), names, owner)
+        return found, [low, high - low]
 
-    answers = B.totals(blocks, "suffix", keys, _combine, parts, [np.int64, np.int64], _RANGE)
+    answers = B.totals(blocks, "suffix", keys, _combine, parts, [np.int64, np.int64], np.int64)
 
     def runs_of(left: pa.Table, right: pa.Table) -> pa.Table:
         """Runs for each shard (kind 0: texts, lengths, least ids), where they are (1) and the copies (2)."""
         row = left.to_pylist()[0]
         ids, ends, text = row["ids"], np.array(row["ends"], np.int64), B.plain(row["text"])
         got = sorted(zip(right["part"].to_pylist(), right["answer"].to_pylist()))
-        range_of = np.concatenate([B.unpack(a, _RANGE) for _, a in got]) if got else np.zeros(0, _RANGE)
-        found = _block_keys(ids, ends, text, width)[0]
-        numbers = _ids(ids)
-        whole = np.searchsorted(found, _whole(ends, text))
-        first = range_of["low"][whole]
+        least_of = np.concatenate([B.unpack(a, np.int64) for _, a in got]) if got else np.zeros(0, np.int64)
+        numbers, whole = _ids(ids), _whole(ends, text)
+        begin, count, name, owner = window_runs(text, ends, width)
+        found = _block_keys(numbers, whole, name, owner)[0]
+        first = least_of[np.searchsorted(found, whole)]
         copy = (first[:, 0] < numbers) & (first[:, 0] == first[:, 1])
-        begins, counts, names_of, ids_of = [], [], [], []
-        for places, names, owner in window_names(text, ends, width):
-            place = np.searchsorted(found, names)
-            keep = ~copy[owner] & (range_of["low"][place] < range_of["high"][place])
-            places, names, owner = places[keep], names[keep], owner[keep]
-            new = np.ones(len(places), bool)
-            new[1:] = (places[1:] != places[:-1] + 1) | (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-            begins.append(places[new])
-            counts.append(np.diff(np.append(np.flatnonzero(new), len(places))))
-            names_of.append(names[new])
-            ids_of.append(numbers[owner[new]])
-        begin, count, of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (begins, counts, ids_of))
-        name = np.concatenate([*names_of, np.zeros(0, np.uint64)])
+        keep = ~copy[owner] & (least_of[np.searchsorted(found, name)] != _ALONE)
+        begin, count, name, of = begin[keep], count[keep], name[keep], numbers[owner[keep]]
         shard = (name >> np.uint64(64 - bits)).astype(np.int64)
         sub = ((name << np.uint64(bits)) >> np.uint64(64 - _SUB_BITS)).astype(np.int64)
         index = np.empty(len(begin), np.int64)
