@@ -289,7 +289,8 @@ def window_runs(text: bytes, ends: np.ndarray, width: int) -> tuple[np.ndarray,
         new[inner] = True
         places = np.flatnonzero(new)
         found.append(places + at)
-        names.append(low[places])
+        # Least hashes are small numbers: hashed again, they are spread evenly over shards.
+        names.append(B.mix(low[places]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), none
@@ -335,7 +336,7 @@ def _combine(order: np.ndarray, starts: np.ndarray, values: list[np.ndarray]) ->
 _RUNS = "block string, part int, kind int, data array<binary>"
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 2 << 20, shard_bytes: int = 128 << 10, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 4 << 20, shard_bytes: int = 128 << 10, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that stay, for each row.
 
     A byte goes if a string of ``width`` bytes (_GRAM at least) that covers it, in this document's text, also starts in
