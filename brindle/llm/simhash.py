@@ -12,6 +12,11 @@ to the smallest loses no connection. That takes at most some 3,000 rows for a fi
 
 Only distinct fingerprints are compared. Components come from links between them, and documents get theirs by
 fingerprint, so copies are never expanded into pairs.
+
+Texts of a high shingle similarity can be many bits apart, so ``similarity`` adds links by the shingles themselves
+(``similar``). Sets whose Jaccard similarity is at least t share one of their first n - ceil(t n) + 1
+shingles in order of hashes: an equality join over these finds every such pair, and whole sets verify it. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
+t of the pivot, which are linked to it, only those are compared with others that are at most d + 1 - t away from it.
 """
 
 from __future__ import annotations
@@ -68,6 +73,113 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return df.mapInArrow(run, T.StructType([f for f in df.schema if f.name != "text"] + [T.StructField("fp", T.LongType())]))
 
 
+def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted; those that ``fingerprint`` counts."""
+    from xxhash import xxh64_intdigest as digest
+
+    words = text.lower().split()
+    found = {digest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-n * percent // 100) + 1
+
+
+def _sets(docs: DataFrame, text_col: str, shingle: int, seed: int, percent: int | None) -> DataFrame:
+    """(fp, sid, n, hashes) of texts with words: sid names the set of shingles, n is its size.
+
+    hashes is the prefix for ``percent``; without that it is the whole set, and fp is null. Repeats close to each other are dropped.
+    """
+    from xxhash import xxh64_intdigest as digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            prints, ids, sizes, rows = [], [], [], []
+            for x in batch.column(0).cast(pa.binary()):
+                text = x.as_py() or b""
+                hashes = shingle_set(text, shingle, seed)
+                if not len(hashes):
+                    continue
+                row = (None if percent is None else fingerprint(text, shingle, seed), digest(hashes.tobytes(), seed))
+                if row in seen:
+                    continue
+                if len(seen) >= 1 << 16:
+                    seen.clear()
+                seen.add(row)
+                prints.append(row[0]), ids.append(row[1]), sizes.append(len(hashes))
+                rows.append(hashes if percent is None else hashes[: _prefix(len(hashes), percent)])
+            sids = pa.array(np.array(ids, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), sids, pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["fp", "sid", "n", "hashes"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp bigint, sid bigint, n int, hashes array<bigint>")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with o, the shingles in common, and na and nb, the sizes."""
+    of = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select(*pairs.columns, F.size(F.array_intersect("_a", "_b")).alias("o"), "na", "nb")
+
+
+def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed: int = 42, percent: int = 80, bucket: int = 32, rounds: int = 8) -> DataFrame:
+    """(a, b), b < a: fingerprints of texts whose shingle sets have a Jaccard similarity of at least ``percent``, enough to keep every connection.
+
+    Results mean the same for any ``bucket`` and ``rounds``: what the pivots leave in a large bucket is compared in pairs.
+    """
+    prefixes, _ = cut(_sets(docs, text_col, shingle, seed, percent), "shingle-prefixes")
+    # A key's place tells how many shingles can still be shared after it.
+    index = prefixes.select("sid", "n", F.posexplode("hashes").alias("at", "key"))
+    shared = index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    members, _ = cut(index.join(shared, "key").select("key", "sid", "n", "at").distinct(), "shingle-shared")
+    wanted = members.select("sid").distinct()
+    whole = _sets(docs, text_col, shingle, seed, None).join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    sets, _ = cut(whole, "shingle-sets")
+    near = F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))
+    distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+    # What is found is written round by round, so that no plan grows with the rounds; they end when they take little away.
+    found, left, more, before = [], members, None, None
+    for i in range(rounds + 1):
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("sid").alias("pivot"))
+        sized = left.join(sizes.where("size > 1"), "key")
+        large = sized.where(F.col("size") > bucket)
+        now = large.count()
+        last = i == rounds or now == 0 or before is not None and 4 * now > 3 * before
+        before = now
+        # Pairs by the key; those that sizes and places rule out are left out.
+        small = sized if last else sized.where(F.col("size") <= bucket)
+        of = lambda c: small.select("key", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"p{c}"))  # noqa: E731, B023
+        pairs = of("a").join(of("b"), "key").where("a > b")
+        fits = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
+        # What both have from here on, and at most the smaller place's number of shingles before.
+        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+        pairs = pairs.where(fits & (room * 100 >= percent * (F.col("na") + F.col("nb") - room))).select("a", "b")
+        pairs, _ = cut(pairs.distinct(), "shingle-pairs")
+        more = pairs if more is None else more.unionByName(pairs)
+        if last:
+            break
+        to_pivot, _ = cut(_overlaps(large.where("sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), sets).select("a", "b", near.alias("near"), distance.alias("d")), "shingle-pivots")
+        found.append(to_pivot.where("near").select("a", "b"))
+        measured = large.where("sid != pivot").join(to_pivot.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "near", "d"), ["sid", "pivot"])
+        ring = measured.where(~F.col("near")).select("key", F.col("sid").alias("b"), F.col("d").alias("db"))
+        inner = measured.where("near").select("key", F.col("sid").alias("a"), F.col("d").alias("da"))
+        crossed = inner.join(ring, "key").where(F.col("db") <= F.col("da") + (100 - percent) / 100 + 1e-9)
+        crossed, _ = cut(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "shingle-crossed")
+        more = more.unionByName(crossed)
+        left, _ = cut(measured.where(~F.col("near")).select("key", "sid", "n", "at"), "shingle-left")
+    pairs = _overlaps(more.distinct(), sets).where(near).select("a", "b")
+    for x in found:
+        pairs = pairs.unionByName(x)
+    # Repeats count for fingerprints, so one set can have several; rows of one fingerprint are linked anyhow.
+    prints = prefixes.select("fp", "sid").distinct()
+    lowest = prints.groupBy("sid").agg(F.min("fp").alias("low"))
+    same = prints.join(lowest, "sid").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    name = lambda c: lowest.select(F.col("sid").alias(c), F.col("low").alias(f"f{c}"))
+    every = same.unionByName(pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).where("a != b")
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _halves(fp) -> tuple:
     """The two segments, with their numbers."""
     return ((0, F.shiftrightunsigned(fp, _HALF)), (1, fp.bitwiseAND(F.lit(_LOW))))
@@ -137,9 +249,11 @@ def _or(cols: list):
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 2, seed: int = 42, bucket: int = 32, carry: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 2, seed: int = 42, bucket: int = 32, percent: int | None = None, carry: bool = False) -> DataFrame:
     """doc_id, fp, component, component_id for each row.
 
+    Rows are linked within ``max_bits``, and with ``percent`` also from that Jaccard similarity of shingles on.
+
     component is the component's smallest fingerprint; component_id the smallest doc_id in it, the row's own included.
 
     Rows with equal fingerprints, texts without words among them, are linked. A null doc_id counts as larger than any
@@ -150,7 +264,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints, _ = cut(fingerprints(docs, **options), "simhash-prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first, _ = cut(first, "simhash-distinct")
-    nodes = connected_components(links(first.select("fp"), max_bits=max_bits, bucket=bucket), "simhash")
+    edges = links(first.select("fp"), max_bits=max_bits, bucket=bucket)
+    if percent is not None:
+        edges = edges.unionByName(similar(docs, text_col=text_col, shingle=shingle, seed=seed, percent=percent, bucket=bucket))
+    nodes = connected_components(edges, "simhash")
     groups = first.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(lowest, "component").select("fp", "component", "component_id")

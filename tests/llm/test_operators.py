@@ -102,6 +102,29 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark), carry=True).select("doc.*").columns == docs(spark).columns
 
 
+def plain_jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("bucket", [2, 1000])
+def test_similar_by_brute_force(spark, bucket):
+    rnd, texts = random.Random(5), []
+    for _ in range(4):
+        base = [f"w{rnd.randrange(500)}" for _ in range(rnd.randint(60, 200))]
+        for _ in range(12):
+            base = list(base) if rnd.random() < 0.5 else [*base[: rnd.randint(40, len(base))], *(f"w{rnd.randrange(500)}" for _ in range(rnd.randint(0, 20)))]
+            base[rnd.randrange(len(base))] = f"w{rnd.randrange(500)}"
+            texts.append(" ".join(base))
+    prints = [plain_print(t, 5) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if plain_jaccard(texts[a], texts[b]) >= 0.8]
+    # Pairs that are too far apart in bits, so that links() alone leaves them.
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in near) > 20
+    want = components(range(len(texts)), [*near, *((a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2)])
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), percent=80, bucket=bucket).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 4
+
+
 # ---- 2
 
 def plain_base(text):
