@@ -14,6 +14,12 @@ that agree in all but the character at one place are within one edit of each oth
 the smallest; a line that is another one with a character more has a cutout that is one of the other's blocks. That
 takes rows by the length of a line, whatever the number of lines, and no check by pairs.
 
+A larger threshold (``edits``) grows with the length of the shorter line, in steps. A step of threshold k is indexed by
+k + 1 pieces of one length, at fixed places: half of them from the start of a line, the others from its end. Of k edits,
+one of these two parts has fewer than it has pieces, so it has a piece i that stands in the other line too, at most i
+characters away from its place as counted from that end. Entries that many lines share are taken apart by pivots: edit distance is a
+metric, so lines within k edits of the pivot are linked to it, and only meet lines that are at most k farther from it.
+
 Texts stay where they are while candidates are found: lines travel as digests and keys. Only candidates' texts move,
 and at the end the documents that lose lines meet the numbers of these lines.
 """
@@ -141,9 +147,104 @@ def line_links(lines: DataFrame, *, bucket: int = 32) -> DataFrame:
     return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, bucket: int = 32, carry: bool = False) -> DataFrame:
+#: Least length of a line, and edits from there on. Steps of equal edits have longer pieces.
+LONGER = ((20, 1), (36, 2), (72, 4), (144, 8), (288, 8), (576, 8))
+
+
+def _piece_keys(line: Column, edits: tuple) -> Column:
+    """(key, k, probe) of each index entry and probe of a line: those of its own step, and probes of the step below."""
+    n = F.length(line)
+
+    def entries(step: int, own: bool) -> Column:
+        low, k = edits[step]
+        size, left = low // (k + 1), k // 2 + 1
+
+        def entry(end: int, i: int, shift: int) -> Column:
+            start = F.lit(i * size + shift + 1) if end == 0 else n - ((i + 1) * size + shift) + 1
+            return F.struct(F.xxhash64(F.lit(step), F.lit(end), F.lit(i), F.substr(line, start, F.lit(size))).alias("key"), F.lit(k).alias("k"), F.lit(not own or shift != 0).alias("probe"))
+
+        return F.array(*[entry(end, i, shift) for end, pieces in enumerate((left, k + 1 - left)) for i in range(pieces) for shift in range(-i, i + 1)])
+
+    none, out = F.array().cast("array<struct<key:bigint,k:int,probe:boolean>>"), None
+    for step, (low, _) in enumerate(edits):
+        found = entries(step, True)
+        if step:
+            # Lines of this step meet shorter ones of the step below within that one's edits.
+            found = F.concat(found, F.when(n < low + edits[step - 1][1], entries(step - 1, False)).otherwise(none))
+        inside = n >= low if step + 1 == len(edits) else (n >= low) & (n < edits[step + 1][0])
+        out = F.when(inside, found) if out is None else out.when(inside, found)
+    return out.otherwise(none)
+
+
+def longer_links(lines: DataFrame, *, edits: tuple = LONGER, bucket: int = 32, rounds: int = 8) -> DataFrame:
+    """(a, b), b < a: digests of distinct lines within the edits that the shorter one's length allows, enough to keep every connection.
+
+    ``edits`` has steps (least length, edits), neither falling; a step's least length is over its edits,
+    and a step is longer than the edits of the one below. Lines under the first length have no links. Results mean the
+    same for any ``bucket`` and ``rounds``.
+    """
+    for step, (low, k) in enumerate(edits):
+        below = edits[step - 1] if step else (0, 0)
+        if low < k + 1 or k < below[1] or low < below[0] + below[1]:
+            raise ValueError(f"step {step} of the edits")
+    texts = lines.where(F.length("line") >= edits[0][0]).groupBy(_digest(F.col("line")).alias("id")).agg(F.first("line").alias("line"))
+    # Short numbers name lines in the index; they are written, so they stay.
+    texts, _ = cut(texts.withColumn("no", F.monotonically_increasing_id()), "lines-distinct")
+    index = texts.select("no", F.explode(_piece_keys(F.col("line"), edits)).alias("e")).select("no", "e.*")
+    # Entries are few beside probes, which travel once: what meets an entry of another line, then entries that were met.
+    entries = index.where(~F.col("probe"))
+    ends = entries.groupBy("key").agg(F.min("no").alias("low"), F.max("no").alias("high"))
+    hits, _ = cut(index.join(ends, "key").where((F.col("low") != F.col("no")) | (F.col("high") != F.col("no"))).select("key", "no", "k", "probe"), "lines-hits")
+    met = entries.join(hits.select("key").distinct(), "key", "left_semi").select("key", "no", "k", "probe")
+    members = hits.unionByName(met).groupBy("key", "no", "k").agg(F.min("probe").alias("probe"))
+    members = members.join(texts.select("no", F.length("line").alias("n")), "no")
+    members, _ = cut(members, "lines-members")
+
+    def measured(pairs: DataFrame, limit: Column) -> DataFrame:
+        """``pairs`` (a, b, k, ...) with d, the edits, -1 where those are over the limit."""
+        of = lambda c: texts.select(F.col("no").alias(c), F.col("line").alias(f"_{c}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.select(*pairs.columns, F.call_function("levenshtein", F.col("_a"), F.col("_b"), limit).alias("d"))
+
+    # What is found is written round by round, so that no plan grows with the rounds; they end when they take little away.
+    found, left, more, before = [], members, None, None
+    for i in range(rounds + 1):
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("no").alias("pivot"), F.min("probe").alias("only"))
+        sized = left.join(sizes.where((F.col("size") > 1) & ~F.col("only")).drop("only"), "key")
+        large = sized.where(F.col("size") > bucket)
+        now = large.count()
+        last = i == rounds or now == 0 or before is not None and 4 * now > 3 * before
+        before = now
+        small = sized if last else sized.where(F.col("size") <= bucket)
+        of = lambda c: small.select("key", F.col("no").alias(c), F.col("n").alias(f"n{c}"), F.col("k"), F.col("probe").alias(f"p{c}"))  # noqa: E731, B023
+        pairs = of("a").join(of("b").drop("k"), "key").where((F.col("a") > F.col("b")) & ~(F.col("pa") & F.col("pb")) & (F.abs(F.col("na") - F.col("nb")) <= F.col("k"))).select("a", "b", "k")
+        pairs, _ = cut(pairs.distinct(), "lines-pairs")
+        more = pairs if more is None else more.unionByName(pairs)
+        if last:
+            break
+        to_pivot, _ = cut(measured(large.where("no != pivot").select(F.col("no").alias("a"), F.col("pivot").alias("b"), "k").distinct(), F.col("k") * 2), "lines-pivots")
+        near = (F.col("d") >= 0) & (F.col("d") <= F.col("k"))
+        found.append(to_pivot.where(near).select("a", "b"))
+        seen = large.where("no != pivot").join(to_pivot.select(F.col("a").alias("no"), F.col("b").alias("pivot"), "k", "d"), ["no", "pivot", "k"])
+        inner = seen.where(near).select("key", F.col("no").alias("x"), F.col("d").alias("dx"))
+        ring = seen.where(~near & (F.col("d") >= 0)).select("key", F.col("no").alias("y"), F.col("d").alias("dy"), "k")
+        crossed = inner.join(ring, "key").where(F.col("dy") <= F.col("dx") + F.col("k"))
+        crossed, _ = cut(crossed.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "k").distinct(), "lines-crossed")
+        more = more.unionByName(crossed)
+        left, _ = cut(seen.where(~near).select("key", "no", "k", "probe", "n"), "lines-left")
+    pairs = measured(more.groupBy("a", "b").agg(F.max("k").alias("k")), F.col("k")).where("d >= 0").select("a", "b")
+    for x in found:
+        pairs = pairs.unionByName(x)
+    name = lambda c: texts.select(F.col("no").alias(c), F.col("id").alias(f"i{c}"))
+    named = pairs.distinct().join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, bucket: int = 32, edits: tuple | None = None, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for each row; with ``carry`` also doc, a struct of all input columns.
 
+    Lines of a class are linked within one edit, with ``edits`` within what ``longer_links`` allows.
+
     Lines are separated by ``\\n``; those of fewer than ``min_chars`` characters always stay. Lines of one class keep
     the first by (doc_id, line number), null ids first; where the ids of rows are equal, rows that are equal in text
     count as one document, and other rows of that id come in order of their texts' digests. A null text has no lines
@@ -156,7 +257,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     bodies = rows.select(owner.alias("doc_id"), "text")
     lines = lines_of(bodies, min_chars)
     narrow, _ = cut(lines.select(F.struct("doc_id.doc_id", "doc_id.digest", "line_no").alias("place"), _digest(F.col("line")).alias("id")), "lines")
-    nodes = connected_components(line_links(lines.select("line"), bucket=bucket), "lines")
+    links = line_links(lines.select("line"), bucket=bucket) if edits is None else longer_links(lines.select("line"), edits=edits, bucket=bucket)
+    nodes = connected_components(links, "lines")
     counts = narrow.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     grouped = counts.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where(F.col("n") > 1)

@@ -427,6 +427,41 @@ def test_line_links(spark, bucket):
     assert components(lines, found) == components(lines, [(a, b) for a in lines for b in lines if a < b and near(a, b)])
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bucket", [1, 1000])
+def test_longer_links_by_brute_force(spark, bucket):
+    rnd, lines = random.Random(9), set()
+
+    def changed(s):
+        i, k, c = rnd.randrange(len(s) + 1), rnd.randrange(3), rnd.choice("abé🙂x")
+        return s[:i] + c + s[i + 1 :] if k == 0 else s[:i] + c + s[i:] if k == 1 else s[:i] + s[i + 1 :]
+
+    for n in (18, 24, 36, 50, 73, 100, 147, 160, 290):
+        base = "".join(rnd.choice("abcdefgh é") for _ in range(n))
+        for _ in range(14):
+            s = base
+            for _ in range(rnd.randint(0, 10)):
+                s = changed(s)
+            lines.add(s)
+    lines = sorted(lines)
+    allowed = lambda n: max([k for low, k in line_dedup.LONGER if n >= low], default=-1)
+    want = [(a, b) for a in lines for b in lines if b < a and abs(len(a) - len(b)) <= 8 and edit_distance(a, b) <= allowed(min(len(a), len(b)))]
+    by = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    found = [(by[bytes(r.a)], by[bytes(r.b)]) for r in line_dedup.longer_links(spark.createDataFrame([(x,) for x in lines] * 2, "line string"), bucket=bucket).collect()]
+    assert components(lines, found) == components(lines, want)
+    assert all(edit_distance(a, b) <= allowed(min(len(a), len(b))) for a, b in found)
+    # Lines that one edit doesn't reach.
+    assert any(edit_distance(a, b) > 4 for a, b in want) and components(lines, want) != components(lines, [(a, b) for a, b in want if near(a, b)])
+
+
 def test_line_dedup_edges(spark):
     line = "this line is long enough"
     rows = [(2, f"{line}\nshort\nshort"), (1, f"{line}!\nother"), (3, line), (4, None), (5, ""), (3, line), (None, f"first\n{line}?"), (6, LONG), (7, LONG[:-1] + "\n")]
