@@ -275,7 +275,7 @@ def ttl_remaining(spark, sf_dir):
 
 
 def _ttl_log(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("user_id < 20")
+    e = _t(spark, sf_dir, "events")
     kind = F.element_at(F.array(*map(F.lit, ["SET", "EXPIRE", "EXPIRENX", "EXPIREXX", "TTL", "GET", "PERSIST", "TTL", "DEL"])), (F.col("event_id") % 9 + 1).cast("int"))
     return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), _ms("ts").alias("ts_ms"), kind.alias("op"), F.lit("v").alias("value"), (F.col("event_id") % 13 * 86_400_000).alias("arg_ms"))
 

@@ -29,6 +29,45 @@ def test_sessions_agree_with_batch(spark, sf_dir):
     assert got == want
 
 
+def test_ttl_replies_of_every_key(spark, sf_dir, tmp_path):
+    import datetime
+
+    # The smallest table has only few users.
+    spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("* EXCEPT (user_id)", "event_id * 7 % 60 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    sf_dir = str(tmp_path)
+
+    kinds = ["SET", "EXPIRE", "EXPIRENX", "EXPIREXX", "TTL", "GET", "PERSIST", "TTL", "DEL"]
+    epoch, ms = datetime.datetime(1970, 1, 1), datetime.timedelta(milliseconds=1)
+    want, state = {}, {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").collect(), key=lambda r: r.event_id):
+        key, now, op = str(r.user_id), (r.ts.replace(tzinfo=None) - epoch) // ms, kinds[r.event_id % 9]
+        # state: the expiry of each key that is there, None for none
+        if key in state and state[key] is not None and state[key] <= now:
+            del state[key]
+        there, has = key in state, state.get(key) is not None
+        reply = int(there)
+        if op == "SET":
+            state[key], reply = None, 1
+        elif op == "DEL":
+            state.pop(key, None)
+        elif op == "TTL":
+            reply = -2 if not there else state[key] - now if has else -1
+        elif op == "PERSIST":
+            reply = int(has)
+            if there:
+                state[key] = None
+        elif op.startswith("EXPIRE"):
+            reply = int(there and {"EXPIRE": True, "EXPIRENX": not has, "EXPIREXX": has}[op])
+            if reply and r.event_id % 13 == 0:
+                del state[key]
+            elif reply:
+                state[key] = now + r.event_id % 13 * 86_400_000
+        want[r.event_id] = (key, op, reply)
+    got = catalogue.queries()["ttl_replies"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {r.seq: (r.key, r.op, r.reply) for r in got} == want
+    assert len({r.key for r in got}) == 60
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
