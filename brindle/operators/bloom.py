@@ -71,6 +71,14 @@ def layer_of(nth: Column, config: Config) -> Column:
     return F.floor(F.log2((nth - 1) / config.capacity + 1)).cast("int")
 
 
+def layers_for(items: int, config: Config) -> int:
+    """Layers that so many distinct items fill, for growth by two."""
+    layers = 1
+    while config.capacity * (2**layers - 1) < items:
+        layers += 1
+    return layers
+
+
 def assign_layers(df: DataFrame, keys: list[str], col: str, order_by: str, config: Config = Config(), ranges: int = 64) -> DataFrame:
     """keys, item, first (the least ``order_by``), nth and layer of each distinct item, in order of first arrival.
 
@@ -91,8 +99,10 @@ def assign_layers(df: DataFrame, keys: list[str], col: str, order_by: str, confi
 
 
 def build_layered(df: DataFrame, keys: list[str], col: str, order_by: str, config: Config = Config(), layers: int = 32) -> DataFrame:
-    """BF.MADD into a filter that grows."""
+    """BF.MADD into a filter that grows; an item beyond the last of ``layers`` is an error when the filter is computed."""
     placed = assign_layers(df, keys, col, order_by, config)
+    beyond = F.raise_error(F.concat(F.lit(f"an item needs more than {layers} layers: layer "), F.col("layer").cast("string"))).cast("int")
+    placed = placed.withColumn("layer", F.when(F.col("layer") < layers, F.col("layer")).otherwise(beyond))
     return _build(placed.select(*keys, "layer", hashing.default(F.col("item")).alias("_h")), keys, config, layers)
 
 

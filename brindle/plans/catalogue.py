@@ -122,8 +122,10 @@ def bloom_layers(spark, sf_dir):
 
 def bloom_layered_members(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
-    filters = bloom.build_layered(orders, [], "o_custkey", "o_orderkey", _LAYERS, layers=12)
-    return bloom.probe(filters, orders, [], "o_custkey", _LAYERS, layers=12).groupBy("found").agg(F.count("*").alias("n"))
+    n = orders.agg(F.countDistinct("o_custkey")).first()[0]
+    layers = bloom.layers_for(n, _LAYERS)
+    filters = bloom.build_layered(orders, [], "o_custkey", "o_orderkey", _LAYERS, layers=layers)
+    return bloom.probe(filters, orders, [], "o_custkey", _LAYERS, layers=layers).groupBy("found").agg(F.count("*").alias("n"))
 
 
 def bloom_replies(spark, sf_dir):

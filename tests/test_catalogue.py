@@ -68,6 +68,18 @@ def test_ttl_replies_of_every_key(spark, sf_dir, tmp_path):
     assert len({r.key for r in got}) == 60
 
 
+def test_layered_members_beyond_twelve_layers(spark, tmp_path, monkeypatch):
+    from brindle.operators import bloom
+
+    monkeypatch.setattr(catalogue, "_LAYERS", bloom.Config(capacity=1, error_rate=0.01))
+    spark.range(9000).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in catalogue.queries()["bloom_layered_members"](spark, str(tmp_path)).collect()] == [(1, 9000)]
+    assert [bloom.layers_for(n, bloom.Config(capacity=100)) for n in (0, 100, 101, 300, 301, 409_500, 409_501)] == [1, 1, 2, 2, 3, 12, 13]
+    rows = spark.range(200).selectExpr("id AS k", "id AS o")
+    with pytest.raises(Exception, match="more than 3 layers"):
+        bloom.build_layered(rows, [], "k", "o", bloom.Config(capacity=10), layers=3).collect()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
