@@ -7,10 +7,12 @@ reads a fixed range of them: what is appended meanwhile belongs to later batches
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import ttl
+from brindle.operators import counters, ttl
 
 STATE = "key string, type string, value string, expires_at_ms bigint"
 
@@ -58,7 +60,87 @@ def load(spark: SparkSession, path: str, now: int) -> DataFrame:
     return ttl.live(state, now)
 
 
+#: Commands whose effect aggregates tell, those that need the ones before, and those that change nothing.
+LAST = ("SET", "DEL", "EXPIREAT", "PERSIST")
+FOLDED = ("INCR", "DECR", "INCRBY", "DECRBY", "EXPIRE", "EXPIRENX", "EXPIREXX", "EXPIREATNX", "EXPIREATXX")
+READS = ("GET", "TTL", "MEMORY", "PING", "INFO", "COMPACT", "HLL.COUNT", "BF.EXISTS", "BF.MEXISTS", "CMS.QUERY", "TOPK.QUERY", "TOPK.LIST")
+
+
 def replay(state: DataFrame, log: DataFrame) -> DataFrame:
+    """State after a log's commands, in order of seq: value is SET's value or the amount of INCRBY and DECRBY, arg_ms the time of the EXPIRE family.
+
+    Keys with counter, relative or conditional expiry commands are folded in order, the others go by aggregates. A state
+    holds strings only: a log with a sketch's or an unknown command is an error, raised at once.
+    """
+    odd = log.where(~F.coalesce(F.col("op").isin(*LAST, *FOLDED, *READS), F.lit(False))).select("op").first()
+    if odd is not None:
+        raise ValueError(f"a store can't replay {odd.op}")
+    log = log.where(~F.col("op").isin(*READS))
+    keys = log.where(F.col("op").isin(*FOLDED)).select("key").distinct()
+    rest = _replay_last(state.join(keys, "key", "left_anti"), log.join(keys, "key", "left_anti"))
+    return rest.unionByName(_fold(state.join(keys, "key", "left_semi"), log.join(keys, "key", "left_semi")))
+
+
+def _fold(state: DataFrame, log: DataFrame) -> DataFrame:
+    """All of a key's commands in order, from its row of the state on; rows stream through."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        now, entry = None, None  # entry: (type, value, expiry) of a key that is there
+        number = lambda x: int(x) if x is not None and re.fullmatch(counters.INTEGER[1:-1], x) and counters.INT64_MIN <= int(x) <= counters.INT64_MAX else None
+        for batch in batches:
+            done: list = []
+            for key, ts, op, kind, value, arg in zip(batch["key"], batch["ts_ms"], batch["op"], batch["type"], batch["value"], batch["arg"]):
+                if key != now:
+                    if entry is not None:
+                        done.append((now, *entry))
+                    now, entry = key, None
+                value, kind = (None if pd.isna(x) else x for x in (value, kind))
+                arg = None if pd.isna(arg) else int(arg)
+                if op == "":
+                    entry = (kind, value, arg)
+                    continue
+                ts = int(ts)
+                if entry is not None and entry[2] is not None and 0 < entry[2] <= ts:
+                    entry = None
+                has = entry is not None and entry[2] is not None and entry[2] > 0
+                if op == "SET":
+                    entry = ("string", value, None)
+                elif op == "DEL":
+                    entry = None
+                elif op == "PERSIST":
+                    entry = entry and (*entry[:2], None)
+                elif op.startswith("EXPIRE"):
+                    at = None if arg is None else arg + (0 if op.startswith("EXPIREAT") else ts)
+                    allowed = not has if op.endswith("NX") else has if op.endswith("XX") else True
+                    if entry is not None and allowed and at is not None and at <= counters.INT64_MAX:
+                        entry = None if at <= ts else (*entry[:2], at)
+                else:
+                    amount = 1 if op in ("INCR", "DECR") else number(value)
+                    old = 0 if entry is None else number(entry[1]) if entry[0] == "string" else None
+                    # A failed command changes nothing.
+                    if amount is not None and old is not None:
+                        total = old - amount if op.startswith("DECR") else old + amount
+                        if counters.INT64_MIN <= total <= counters.INT64_MAX:
+                            entry = ("string", str(total), entry and entry[2])
+            yield _frame(done)
+        if entry is not None:
+            yield _frame([(now, *entry)])
+
+    def _frame(rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["key", "type", "value", "expires_at_ms"], dtype=object)
+        return out.assign(expires_at_ms=pd.array(list(out["expires_at_ms"]), dtype="Int64"))
+
+    # A time is text on its way, since pandas makes numbers with nulls floating.
+    first = state.select("key", F.lit(0).alias("after"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit("").alias("op"), "type", "value", F.col("expires_at_ms").cast("string").alias("arg"))
+    then = log.select("key", F.lit(1).alias("after"), F.col("seq").cast("bigint").alias("seq"), F.col("ts_ms").cast("bigint").alias("ts_ms"), "op", F.lit(None).cast("string").alias("type"), "value", F.col("arg_ms").cast("string").alias("arg"))
+    rows = first.unionByName(then).repartition("key").sortWithinPartitions("key", "after", "seq")
+    return rows.mapInPandas(run, STATE)
+
+
+def _replay_last(state: DataFrame, log: DataFrame) -> DataFrame:
     """State after SET (value), DEL, EXPIREAT (arg_ms, an absolute time) and PERSIST commands, in order of seq.
 
     The last SET or DEL of a key decides what it is, and the last expiry after that what it has; all by aggregates.

@@ -106,6 +106,26 @@ def test_store(spark, tmp_path):
     assert store.needs_compaction(200 << 20, 90 << 20) and not store.needs_compaction(1 << 20, 0)
 
 
+def test_store_replays_counters_and_expiry(spark, tmp_path):
+    import pytest
+
+    path, log = str(tmp_path / "store"), "key string, seq bigint, ts_ms bigint, op string, value string, arg_ms bigint"
+    big = (1 << 53) + 1  # no double holds this
+    store.save(spark.createDataFrame([("n", "string", "40", big), ("text", "string", "x", None), ("old", "string", "9", 100), ("h", "hll", "40", None), ("stays", "string", "s", None)], STATE), path)
+    ops = [("n", "INCRBY", "2", None), ("new", "INCRBY", "5", None), ("new", "DECR", None, None), ("text", "INCR", None, None), ("old", "DECRBY", "3", None), ("h", "INCR", None, None), ("text", "EXPIRENX", None, 1000), ("text", "EXPIRENX", None, 5), ("new", "EXPIREXX", None, 5), ("n", "GET", None, None)]
+    ops += [("top", "SET", str(counters.INT64_MAX), None), ("top", "INCR", None, None), ("top", "EXPIRE", None, 500), ("top", "EXPIREATXX", None, 900), ("dead", "SET", "d", None), ("dead", "EXPIRE", None, 0), ("bad", "INCRBY", "two", None), ("set", "SET", "1", None), ("set", "DEL", None, None), ("set", "INCR", None, None)]
+    store.append(spark.createDataFrame([(k, i, 200, op, v, a) for i, (k, op, v, a) in enumerate(ops)], log), path)
+    want = {("n", "42", big), ("new", "4", None), ("text", "x", 1200), ("old", "-3", None), ("h", "40", None), ("stays", "s", None), ("top", str(counters.INT64_MAX), 900), ("set", "1", None)}
+    read = lambda: {(r.key, r.value, r.expires_at_ms) for r in store.load(spark, path, 300).collect()}
+    assert read() == want
+    store.compact(spark, path, 300)
+    assert store.batches(spark, path, "log") == [] and read() == want
+    store.append(spark.createDataFrame([("s", 1, 300, "HLL.ADD", "a", None)], log), path)
+    with pytest.raises(ValueError, match="HLL.ADD"):
+        store.compact(spark, path, 300)
+    assert store.batches(spark, path, "log") == [2]
+
+
 def test_expiring_stream(spark, tmp_path):
     schema = "key string, seq bigint, ts_ms bigint, op string, value string, arg_ms bigint"
     rows = [("k", 1, 0, "SET", "v", 0), ("k", 2, 1, "EXPIRE", None, 10), ("k", 3, 5, "TTL", None, 0), ("k", 4, 11, "GET", None, 0), ("j", 5, 0, "DEL", None, 0), ("j", 6, 0, "SET", "w", 0), ("j", 7, 1, "GET", None, 0)]
