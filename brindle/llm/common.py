@@ -59,6 +59,46 @@ def carried(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFra
     return docs.select(*cols)
 
 
+def heavy_keys(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` (with n) that hold over one in ``most`` of all: fewer than ``most`` rows, whatever the size."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > total / most)
+
+
+def anti_heavy(rows: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key isn't one of the few ``heavy`` ones (see heavy_keys), which are broadcast; null keys stay."""
+    return rows.join(F.broadcast(heavy), key, "left_anti")
+
+
+def bit_filter(numbers: DataFrame, bits: int = 26) -> DataFrame:
+    """One row: the words of a Bloom filter of 2 ** ``bits`` bits, two for each ``no`` (a long that is a hash).
+
+    Its size is fixed, whatever the rows; with many more rows than a tenth of its bits it lets ever more through.
+    """
+    words = 1 << (bits - 6)
+    place = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
+    each = numbers.select(F.explode(F.array(*[place(x) for x in _twice(F.col("no"))])).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+    used = each.groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(one).alias("w"))
+    every = numbers.sparkSession.range(0, words, 1, 8).join(used, "id", "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("_words"))
+    return cut(row.select(F.transform("_words", lambda x: x["w"]).alias("_words")), "filter")[0]
+
+
+def _twice(no: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(no, 1), F.shiftrightunsigned(no, 33)
+
+
+def passing(rows: DataFrame, filled: DataFrame, number: Column, inside: bool = True) -> DataFrame:
+    """``rows`` whose number the filter may have, or (not ``inside``) certainly hasn't. The filter is one row of fixed size."""
+    has = F.lit(True)
+    for x in _twice(number):
+        p = x.bitwiseAND(F.size("_words").cast("long") * 64 - 1)
+        word = F.get("_words", F.shiftright(p, 6).cast("int"))
+        has = has & (F.call_function("shiftright", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return rows.crossJoin(F.broadcast(filled)).where(has if inside else ~has).drop("_words")
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 

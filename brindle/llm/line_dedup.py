@@ -1,158 +1,104 @@
 """Line dedup by a segment-partition edit join, by DataFrame functions alone.
 
-Lines that are equal, or within one edit (a character replaced, inserted or deleted), form classes; of each class the
-first line in order of (doc_id, line number) stays and the others go from their documents.
-
-With a threshold of one edit a line is cut into two segments, and two lines within one edit share one of them: each
-distinct line is indexed by (length, segment number, segment), and probes the index of its own length by its segments
-and that of lines one character shorter by the substrings at the places where those segments can be. Candidates are
-verified by a banded bit-parallel edit distance: three diagonals, a machine word of matches for each character.
-
-An index entry that many distinct lines share would yield pairs by the square. Such lines are cut into some sqrt(n)
-blocks, and each block is taken without each of its characters, with digests of what stands before and after it: lines
-that agree in all but the character at one place are within one edit of each other, all of them, and each is linked to
-the smallest; a line that is another one with a character more has a cutout that is one of the other's blocks. That
-takes rows by the length of a line, whatever the number of lines, and no check by pairs.
-
-A larger threshold (``edits``) grows with the length of the shorter line, in steps. A step of threshold k is indexed by
-k + 1 pieces of one length, at fixed places: half of them from the start of a line, the others from its end. Of k edits,
-one of these two parts has fewer than it has pieces, so it has a piece i that stands in the other line too, at most i
-characters away from its place as counted from that end. Entries that many lines share are taken apart by pivots: edit distance is a
-metric, so lines within k edits of the pivot are linked to it, and only meet lines that are at most k farther from it.
-
-Texts stay where they are while candidates are found: lines travel as digests and keys. Only candidates' texts move,
-and at the end the documents that lose lines meet the numbers of these lines.
+Lines that are equal, or within some edits (a character replaced, inserted or deleted), form classes; of each class the
+first line in order of (doc_id, line number) stays and the others go from their documents. The edits allowed grow with
+the length of the shorter line, in steps (``EDITS``): short lines have to be equal.
+
+A step of threshold k is indexed by k + 1 segments of one length, at fixed places: half of them from the start of a
+line, the others from its end. Of k edits, one of these two parts has fewer than it has segments, so it has a segment i
+that stands in the other line too, at most i characters away from its place as counted from that end. Lines probe the
+index by the substrings at those places; lines a little longer than a step probe the step below as well. Candidates
+are verified by a banded bit-parallel edit distance: 2k + 1 diagonals, a machine word of matches for each character.
+
+The index travels once. An entry that many lines share would yield pairs by the square: it is taken apart by pivots.
+Edit distance is a metric, so lines within k edits of the pivot are linked to it, and only meet lines that are at most
+k farther from it. Entries that hold a thousandth of a sample are dealt over several tasks.
+
+Texts stay where they are: lines travel as digests and keys. Only the texts of candidates move, and at the end the
+documents that lose lines; filters of fixed size tell the others before the shuffle, and what they let through in vain
+drops out in the join. Lines that very many rows share are few, so they are broadcast (``HEAVY`` at most).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, connected_components, cut
+from .common import anti_heavy, bit_filter, carried, connected_components, cut, heavy_keys, passing
+
+#: Least length of a line, and edits from there on.
+EDITS = ((1, 0), (20, 1), (36, 2), (72, 3), (144, 4))
+#: At most so many lines, or index entries, count as heavy: those with more than that share of all.
+HEAVY = 10_000
+_SPREAD = 64
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, line) of each line of at least ``min_chars`` characters; docs has doc_id and text."""
-    found = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return found.where(F.length("line") >= min_chars)
-
+def _blank(line: Column) -> Column:
+    """Of white space alone: no content that could repeat."""
+    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""
 
-def _segments(text: Column, n: Column) -> tuple[Column, Column]:
-    """The two segments of a line of n characters."""
-    half = (n / 2).cast("int")
-    return F.substring(text, F.lit(1), half), F.substr(text, half + 1)
 
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """(place, line) of each line with content and of at least ``least`` characters; docs has doc_id, digest and text."""
+    found = docs.select("doc_id", "digest", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return found.where((F.length("line") >= least) & ~_blank(F.col("line"))).select(F.struct("doc_id", "digest", "line_no").alias("place"), "line")
 
-def _keys(line: Column) -> list[Column]:
-    """Two index entries, and two probes of the entries of lines that are one character shorter."""
-    n = F.length(line)
-    key = lambda size, number, part: F.xxhash64(size, F.lit(number), part)
-    first, second = _segments(line, n)
-    less = n - 1
-    half = (less / 2).cast("int")
-    return [
-        key(n, 1, first),
-        key(n, 2, second),
-        key(less, 1, F.substring(line, F.lit(1), half)),
-        key(less, 2, F.substr(line, n - (less - half) + 1)),
-    ]
-
-
-def within_one_edit(a: Column, b: Column) -> Column:
-    """Whether two lines, given as arrays of characters, are within one edit: banded and bit-parallel.
-
-    The band is three diagonals, one bit each. After j characters of ``b``, the word r0 holds the diagonals that are
-    reached without an edit and r1 those with one: on diagonal d (-1, 0, 1 as bits 1, 2, 4) that is by j + d characters
-    of ``a``. A word of matches holds which of the three characters of ``a`` around place j equal character j of ``b``,
-    and a few operations on words take all diagonals on.
-    """
-    n, m = F.size(a), F.size(b)
-
-    def step(s: Column, c: Column) -> Column:
-        at = lambda d, bit: F.when(F.get(a, s["j"] + d) == c, bit).otherwise(0)  # noqa: E731  places from 0; null beyond the ends
-        hit = at(-1, 1) + at(0, 2) + at(1, 4)
-        r0 = s["r0"].bitwiseAND(hit)
-        # With one edit: by a match; from r0 by a replacement, an insertion (one diagonal down) or a deletion (one up).
-        r1 = s["r1"].bitwiseAND(hit).bitwiseOR(s["r0"]).bitwiseOR(F.shiftright(s["r0"], 1)).bitwiseOR(F.shiftleft(r0, 1)).bitwiseAND(F.lit(7))
-        return F.struct((s["j"] + 1).alias("j"), r0.alias("r0"), r1.alias("r1"))
 
-    end = F.aggregate(b, F.struct(F.lit(0).alias("j"), F.lit(2).alias("r0"), F.lit(6).alias("r1")), step)
-    final = F.when(n == m, 2).when(n == m + 1, 4).when(n + 1 == m, 1).otherwise(0)
-    return end["r0"].bitwiseOR(end["r1"]).bitwiseAND(final) > 0
+def _allowed(n: Column, edits: tuple) -> Column:
+    """The edits that lines of n characters are allowed."""
+    out = F.lit(-1)
+    for low, k in edits:
+        out = F.when(n >= low, F.lit(k)).otherwise(out)
+    return out
 
 
-def _blocks(line: Column, n: Column, extra: int) -> Column:
-    """Blocks of a line for the partition of lines of n characters; the line has ``extra`` characters more.
+def within_edits(a: Column, b: Column, k: int) -> Column:
+    """Whether two lines, given as arrays of characters, are within k edits (4 at most): banded and bit-parallel.
 
-    An array of (start, around, block): characters before the block, a digest of what is before and after it, itself.
+    The band is 2k + 1 diagonals. After j characters of ``b``, one word holds, for each number of edits e up to k, the
+    diagonals reached with at most e edits: on diagonal d that is by j + d characters of ``a``. A word of matches holds
+    which characters of ``a`` around place j equal character j of ``b``, and a few operations take all of them on.
     """
-    size = F.ceil(F.sqrt(n)).cast("int")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.greatest(size, F.lit(1)))
-
-    def block(s: Column) -> Column:
-        length = F.least(size, n - s) + extra
-        around = F.concat(_digest(F.substring(line, F.lit(1), s)), _digest(F.substr(line, s + length + 1)))
-        return F.struct(s.alias("start"), around.alias("around"), F.substring(line, s + 1, length).alias("block"))
+    # Bound once, so that what makes the arrays isn't run again for each character.
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: _banded(p["a"], p["b"], k)), 0)
 
-    return F.transform(starts, block)
 
+def _banded(a: Column, b: Column, k: int) -> Column:
+    n, m, width = F.size(a), F.size(b), 2 * k + 1
+    every = sum(1 << (width * e) for e in range(k + 1))  # the lowest diagonal of each number of edits
+    mask = lambda bits: F.lit(bits).cast("long")
+    full, low, high = (1 << (width * (k + 1))) - 1, every, every << (width - 1)
+    # Places from 0; null beyond the ends.
+    hits = F.transform(b, lambda c, j: reduce(lambda x, y: x + y, [F.when(F.get(a, j + d) == c, mask(every << (d + k))).otherwise(mask(0)) for d in range(-k, k + 1)]))
 
-def _cutouts(blocks: Column) -> Column:
-    """Each block without each of its characters: an array of (place, rest)."""
+    def step(s: Column, hit: Column) -> Column:
+        # By a match; with one edit more by a replacement, or an insertion, one diagonal down.
+        new = s.bitwiseAND(hit).bitwiseOR(F.shiftleft(s, width)).bitwiseOR(F.shiftleft(s.bitwiseAND(mask(full & ~low)), width - 1))
+        # By deletions, one diagonal up each.
+        up = lambda x, _: x.bitwiseOR(F.shiftleft(x.bitwiseAND(mask(full & ~high)), width + 1))
+        return F.aggregate(F.array(*[F.lit(e) for e in range(k)]), new.bitwiseAND(mask(full)), lambda x, e: up(x, e).bitwiseAND(mask(full)))
 
-    def each(b: Column) -> Column:
-        rest = lambda i: _digest(F.concat(b["around"], F.encode(F.concat(F.substring(b["block"], F.lit(1), i - 1), F.substr(b["block"], i + 1)), "UTF-8")))
-        return F.transform(F.sequence(F.lit(1), F.length(b["block"])), lambda i: F.struct((b["start"] + i).alias("place"), rest(i).alias("rest")))
+    end = F.aggregate(hits, mask(sum(((1 << (e + 1)) - 1) << (width * e + k) for e in range(k + 1))), step)
+    at = F.when(F.abs(n - m) <= k, n - m).otherwise(0)
+    return (F.abs(n - m) <= k) & (F.call_function("shiftright", end, at + (width * k + k)).bitwiseAND(F.lit(1)) == 1)
 
-    return F.flatten(F.transform(blocks, each))
 
+def _alike(a: Column, b: Column, k: int) -> Column:
+    """What lines within k edits have in common: of 3k + 2 parts of ``a`` all but k stand in ``b``, at most k places away."""
+    parts = 3 * k + 2
+    size = F.floor(F.length(a) / parts).cast("int")
+    there = [F.contains(F.substr(b, F.greatest(size * i + 1 - k, F.lit(1)), size + 2 * k), F.substr(a, size * i + 1, size)).cast("int") for i in range(parts)]
+    return reduce(lambda x, y: x + y, there) >= parts - k
 
-def line_links(lines: DataFrame, *, bucket: int = 32) -> DataFrame:
-    """(a, b): digests of distinct lines within one edit, b < a, enough to keep every connection.
 
-    ``lines`` has line (text); equal lines may repeat. Results mean the same for any ``bucket``.
-    """
-    line, n = F.col("line"), F.length("line")
-    keyed = lines.select(_digest(line).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(_keys(line))])
-    distinct = keyed.groupBy("id").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
-    member = lambda i: F.struct(F.col(f"k{i}").alias("key"), F.lit(i > 1).alias("probe"))
-    index = distinct.select("id", F.explode(F.array(*map(member, range(4)))).alias("k")).select("id", "k.key", "k.probe")
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("only")).where((F.col("n") > 1) & ~F.col("only")).select("key", "n")
-    shared, _ = cut(index.join(sizes, "key"), "lines-shared")
-    wanted = shared.groupBy("id").agg(F.max("n").alias("top"))
-    texts = lines.select(_digest(line).alias("id"), "line").join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"), F.first("top").alias("top"))
-    texts, _ = cut(texts, "lines-candidates")
-
-    # Small buckets: all pairs of an entry with another entry or a probe.
-    groups = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_set(F.struct("id", "probe")).alias("m"))
-    pairs = groups.select("m", F.explode(F.filter("m", lambda x: ~x["probe"])).alias("x")).select(F.col("x.id").alias("a"), F.explode(F.filter("m", lambda y: (y["id"] != F.col("x.id")) & (y["probe"] | (y["id"] < F.col("x.id"))))).alias("y"))
-    pairs = pairs.select("a", F.col("y.id").alias("b")).distinct()
-    text = lambda name: texts.select(F.col("id").alias(name), F.split("line", "").alias(f"{name}_line"))
-    near = pairs.join(text("a"), "a").join(text("b"), "b").where(within_one_edit(F.col("a_line"), F.col("b_line"))).select("a", "b")
-
-    # Large ones: by cutouts.
-    hot = texts.where(F.col("top") > bucket).select("id", "line")
-    same = hot.select("id", F.explode(_cutouts(_blocks(line, n, 0))).alias("v")).select("id", "v.place", "v.rest")
-    lowest = same.groupBy("place", "rest").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top")
-    replaced = same.join(lowest, ["place", "rest"]).where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b")
-    shorter = hot.select(F.col("id").alias("b"), F.explode(F.transform(_blocks(line, n, 0), lambda x: _digest(F.concat(x["around"], F.encode(x["block"], "UTF-8"))))).alias("rest"))
-    longer = hot.select(F.col("id").alias("a"), F.explode(_cutouts(_blocks(line, n - 1, 1))).alias("v")).select("a", "v.rest")
-    added = longer.join(shorter, "rest").select("a", "b")
-    every = near.unionByName(replaced).unionByName(added)
-    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-#: Least length of a line, and edits from there on. Steps of equal edits have longer pieces.
-LONGER = ((20, 1), (36, 2), (72, 4), (144, 8), (288, 8), (576, 8))
-
-
-def _piece_keys(line: Column, edits: tuple) -> Column:
-    """(key, k, probe) of each index entry and probe of a line: those of its own step, and probes of the step below."""
+def _segment_keys(line: Column, edits: tuple) -> Column:
+    """(key, probe) of each index entry and probe of a line: those of its own step, and probes of the step below."""
     n = F.length(line)
 
     def entries(step: int, own: bool) -> Column:
@@ -161,118 +107,153 @@ def _piece_keys(line: Column, edits: tuple) -> Column:
 
         def entry(end: int, i: int, shift: int) -> Column:
             start = F.lit(i * size + shift + 1) if end == 0 else n - ((i + 1) * size + shift) + 1
-            return F.struct(F.xxhash64(F.lit(step), F.lit(end), F.lit(i), F.substr(line, start, F.lit(size))).alias("key"), F.lit(k).alias("k"), F.lit(not own or shift != 0).alias("probe"))
+            return F.struct(F.xxhash64(F.lit(step), F.lit(end), F.lit(i), F.substr(line, start, F.lit(size))).alias("key"), F.lit(int(not own or shift != 0)).cast("long").alias("probe"))
 
-        return F.array(*[entry(end, i, shift) for end, pieces in enumerate((left, k + 1 - left)) for i in range(pieces) for shift in range(-i, i + 1)])
+        return F.array(*[entry(end, i, shift) for end, segments in enumerate((left, k + 1 - left)) for i in range(segments) for shift in range(-i, i + 1)])
 
-    none, out = F.array().cast("array<struct<key:bigint,k:int,probe:boolean>>"), None
-    for step, (low, _) in enumerate(edits):
-        found = entries(step, True)
-        if step:
+    out = none = F.array().cast("array<struct<key:bigint,probe:bigint>>")
+    for step, (low, k) in enumerate(edits):
+        if k == 0:
+            continue
+        found, below = entries(step, True), edits[step - 1][1] if step else 0
+        if below:
             # Lines of this step meet shorter ones of the step below within that one's edits.
-            found = F.concat(found, F.when(n < low + edits[step - 1][1], entries(step - 1, False)).otherwise(none))
-        inside = n >= low if step + 1 == len(edits) else (n >= low) & (n < edits[step + 1][0])
-        out = F.when(inside, found) if out is None else out.when(inside, found)
-    return out.otherwise(none)
-
+            found = F.concat(found, F.when(n < low + below, entries(step - 1, False)).otherwise(none))
+        out = F.when(n >= low, found).otherwise(out)
+    return out
 
-def longer_links(lines: DataFrame, *, edits: tuple = LONGER, bucket: int = 32, rounds: int = 8) -> DataFrame:
-    """(a, b), b < a: digests of distinct lines within the edits that the shorter one's length allows, enough to keep every connection.
 
-    ``edits`` has steps (least length, edits), neither falling; a step's least length is over its edits,
-    and a step is longer than the edits of the one below. Lines under the first length have no links. Results mean the
-    same for any ``bucket`` and ``rounds``.
-    """
+def _check(edits: tuple) -> None:
     for step, (low, k) in enumerate(edits):
         below = edits[step - 1] if step else (0, 0)
+        if k > 4:
+            raise ValueError("the band of over four edits does not fit a word")
         if low < k + 1 or k < below[1] or low < below[0] + below[1]:
             raise ValueError(f"step {step} of the edits")
-    texts = lines.where(F.length("line") >= edits[0][0]).groupBy(_digest(F.col("line")).alias("id")).agg(F.first("line").alias("line"))
-    # Short numbers name lines in the index; they are written, so they stay.
-    texts, _ = cut(texts.withColumn("no", F.monotonically_increasing_id()), "lines-distinct")
-    index = texts.select("no", F.explode(_piece_keys(F.col("line"), edits)).alias("e")).select("no", "e.*")
-    # Entries are few beside probes, which travel once: what meets an entry of another line, then entries that were met.
-    entries = index.where(~F.col("probe"))
-    ends = entries.groupBy("key").agg(F.min("no").alias("low"), F.max("no").alias("high"))
-    hits, _ = cut(index.join(ends, "key").where((F.col("low") != F.col("no")) | (F.col("high") != F.col("no"))).select("key", "no", "k", "probe"), "lines-hits")
-    met = entries.join(hits.select("key").distinct(), "key", "left_semi").select("key", "no", "k", "probe")
-    members = hits.unionByName(met).groupBy("key", "no", "k").agg(F.min("probe").alias("probe"))
-    members = members.join(texts.select("no", F.length("line").alias("n")), "no")
-    members, _ = cut(members, "lines-members")
-
-    def measured(pairs: DataFrame, limit: Column) -> DataFrame:
-        """``pairs`` (a, b, k, ...) with d, the edits, -1 where those are over the limit."""
-        of = lambda c: texts.select(F.col("no").alias(c), F.col("line").alias(f"_{c}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
-        return both.select(*pairs.columns, F.call_function("levenshtein", F.col("_a"), F.col("_b"), limit).alias("d"))
+
+
+def line_links(lines: DataFrame, *, edits: tuple = EDITS, bucket: int = 32, rounds: int = 8) -> DataFrame:
+    """(a, b), b < a: digests of distinct lines within the edits that the shorter one's length allows, enough to keep every connection.
+
+    ``lines`` has line; lines that repeat very often should have been taken out. ``edits`` has steps (least length,
+    edits, 4 at most), neither falling; a step's least length is over its edits, and a step is longer than the edits of the one
+    below. Lines under the first length have no links. Results mean the same for any ``bucket`` and ``rounds``.
+    """
+    _check(edits)
+    if not any(k for _, k in edits):
+        return lines.select(_digest(F.col("line")).alias("a"), _digest(F.col("line")).alias("b")).where(F.lit(False))
+    lines = lines.where(F.length("line") >= min(low for low, k in edits if k))
+    number = F.xxhash64("line").bitwiseAND(F.lit(-2))  # of a line; the lowest bit tells probes
+    entries_of = lambda df: df.select(number.alias("no"), F.explode(_segment_keys(F.col("line"), edits)).alias("e")).select("e.key", F.col("no").bitwiseOR(F.col("e.probe")).alias("v"))
+    no, probe = F.col("v").bitwiseAND(F.lit(-2)), F.col("v").bitwiseAND(F.lit(1))
+    hot, _ = cut(heavy_keys(entries_of(lines.sample(1 / 64, seed=1)).groupBy("key").agg(F.count("*").alias("n")), 1000).where("n > 32"), "lines-hot")
+    dealt = entries_of(lines).join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
+    dealt = dealt.select("key", "v", F.when(F.col("hot"), F.pmod(F.shiftright("v", 1), F.lit(_SPREAD))).otherwise(0).cast("byte").alias("deal"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.repartition("key", "deal")  # the one shuffle of the index; both uses below read it
+    ends = dealt.groupBy("key", "deal").agg(F.min(no).alias("low"), F.max(no).alias("high"), F.min(probe).alias("only"), F.max("hot").alias("hot"))
+    ends = ends.where(F.col("hot") | (F.col("low") < F.col("high")) & (F.col("only") == 0)).select("key", "deal")
+    members = dealt.join(ends, ["key", "deal"]).groupBy("key", "deal", no.alias("no")).agg(F.min(probe).alias("probe"))
+    members, _ = cut(members.select("key", "no", "probe"), "lines-members")
+
+    wanted = passing(lines, bit_filter(members.select("no")), number)
+    texts = wanted.withColumn("no", number).join(members.select("no").distinct(), "no", "left_semi")
+    texts = texts.groupBy("no", _digest(F.col("line")).alias("id")).agg(F.first("line").alias("line"))
+    texts, _ = cut(texts.withColumn("n", F.length("line")), "lines-candidates")
+    members, _ = cut(members.join(texts.groupBy("no").agg(F.min("n").alias("n")), "no"), "lines-measured")
+    both_of = lambda pairs: pairs.join(texts.select(F.col("no").alias("a"), F.col("id").alias("ia"), F.col("line").alias("la"), F.col("n").alias("na")), "a").join(texts.select(F.col("no").alias("b"), F.col("id").alias("ib"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
+    steps = sorted({k for _, k in edits if k})
+    limit = _allowed(F.least("na", "nb"), edits)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b): digests of those ``pairs`` (a, b) that are within their edits."""
+        out = both_of(pairs).withColumn("k", limit)
+        alike, near = F.lit(False), F.lit(False)
+        for k in steps:
+            alike = F.when(F.col("k") == k, _alike(F.col("la"), F.col("lb"), k)).otherwise(alike)
+            near = F.when(F.col("k") == k, within_edits(F.split("la", ""), F.split("lb", ""), k)).otherwise(near)
+        out = out.where((F.abs(F.col("na") - F.col("nb")) <= F.col("k")) & alike).where(near)
+        return out.select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
 
     # What is found is written round by round, so that no plan grows with the rounds; they end when they take little away.
     found, left, more, before = [], members, None, None
     for i in range(rounds + 1):
         sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("no").alias("pivot"), F.min("probe").alias("only"))
-        sized = left.join(sizes.where((F.col("size") > 1) & ~F.col("only")).drop("only"), "key")
+        sized = left.join(sizes.where((F.col("size") > 1) & (F.col("only") == 0)).drop("only"), "key")
         large = sized.where(F.col("size") > bucket)
         now = large.count()
         last = i == rounds or now == 0 or before is not None and 4 * now > 3 * before
         before = now
         small = sized if last else sized.where(F.col("size") <= bucket)
-        of = lambda c: small.select("key", F.col("no").alias(c), F.col("n").alias(f"n{c}"), F.col("k"), F.col("probe").alias(f"p{c}"))  # noqa: E731, B023
-        pairs = of("a").join(of("b").drop("k"), "key").where((F.col("a") > F.col("b")) & ~(F.col("pa") & F.col("pb")) & (F.abs(F.col("na") - F.col("nb")) <= F.col("k"))).select("a", "b", "k")
+        of = lambda c: small.select("key", F.col("no").alias(c), F.col("n").alias(f"n{c}"), F.col("probe").alias(f"p{c}"))  # noqa: E731, B023
+        pairs = of("a").join(of("b"), "key").where((F.col("a") > F.col("b")) & (F.col("pa") + F.col("pb") < 2) & (F.abs(F.col("na") - F.col("nb")) <= limit)).select("a", "b")
         pairs, _ = cut(pairs.distinct(), "lines-pairs")
         more = pairs if more is None else more.unionByName(pairs)
         if last:
             break
-        to_pivot, _ = cut(measured(large.where("no != pivot").select(F.col("no").alias("a"), F.col("pivot").alias("b"), "k").distinct(), F.col("k") * 2), "lines-pivots")
+        # Distances to the pivots, up to twice the edits that any line is allowed, since rings are that wide.
+        most = steps[-1]
+        far = F.call_function("levenshtein", F.col("la"), F.col("lb"), F.lit(2 * most))
+        to_pivot = both_of(large.where("no != pivot").select(F.col("no").alias("a"), F.col("pivot").alias("b")).distinct())
+        to_pivot, _ = cut(to_pivot.select("a", "b", far.alias("d"), limit.alias("k")), "lines-pivots")
         near = (F.col("d") >= 0) & (F.col("d") <= F.col("k"))
         found.append(to_pivot.where(near).select("a", "b"))
-        seen = large.where("no != pivot").join(to_pivot.select(F.col("a").alias("no"), F.col("b").alias("pivot"), "k", "d"), ["no", "pivot", "k"])
+        seen = large.where("no != pivot").join(to_pivot.select(F.col("a").alias("no"), F.col("b").alias("pivot"), "d", "k"), ["no", "pivot"])
         inner = seen.where(near).select("key", F.col("no").alias("x"), F.col("d").alias("dx"))
-        ring = seen.where(~near & (F.col("d") >= 0)).select("key", F.col("no").alias("y"), F.col("d").alias("dy"), "k")
-        crossed = inner.join(ring, "key").where(F.col("dy") <= F.col("dx") + F.col("k"))
-        crossed, _ = cut(crossed.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "k").distinct(), "lines-crossed")
+        ring = seen.where(~near & (F.col("d") >= 0)).select("key", F.col("no").alias("y"), F.col("d").alias("dy"))
+        crossed = inner.join(ring, "key").where(F.col("dy") <= F.col("dx") + most)
+        crossed, _ = cut(crossed.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "lines-crossed")
         more = more.unionByName(crossed)
-        left, _ = cut(seen.where(~near).select("key", "no", "k", "probe", "n"), "lines-left")
-    pairs = measured(more.groupBy("a", "b").agg(F.max("k").alias("k")), F.col("k")).where("d >= 0").select("a", "b")
+        left, _ = cut(seen.where(~near).select("key", "no", "probe", "n"), "lines-left")
+    # Pivots' lines are verified like any others: what they were measured by only tells rings.
     for x in found:
-        pairs = pairs.unionByName(x)
-    name = lambda c: texts.select(F.col("no").alias(c), F.col("id").alias(f"i{c}"))
-    named = pairs.distinct().join(name("a"), "a").join(name("b"), "b")
-    return named.select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
+        more = more.unionByName(x)
+    return verified(more.distinct()).where("a != b").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, bucket: int = 32, edits: tuple | None = None, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: tuple = EDITS, bucket: int = 32, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for each row; with ``carry`` also doc, a struct of all input columns.
 
-    Lines of a class are linked within one edit, with ``edits`` within what ``longer_links`` allows.
-
-    Lines are separated by ``\\n``; those of fewer than ``min_chars`` characters always stay. Lines of one class keep
-    the first by (doc_id, line number), null ids first; where the ids of rows are equal, rows that are equal in text
-    count as one document, and other rows of that id come in order of their texts' digests. A null text has no lines
-    and kept_text is null; an empty text is one empty line. Removed lines go with the separator that ends them; a text
-    that loses all its lines becomes ''. Extra columns stay inside doc or are left out.
+    Lines are separated by ``\\n``; lines of white space alone have no content and stay. Lines of a class (equal, or
+    linked within ``edits``, as ``line_links`` has them) keep the first by (doc_id, line number), null ids first; where
+    the ids of rows are equal, rows that are equal in text count as one document, and other rows of that id come in
+    order of their texts' hashes. A null text has no lines and kept_text is null; an empty text is one empty line.
+    Removed lines go with the separator that ends them; a text that loses all its lines becomes ''. Extra columns stay
+    inside doc or are left out.
     """
-    rows = carried(docs, id_col, text_col, carry)
-    # A row's place in the order: its id and the digest of its text, so that rows of one id can be told apart.
-    owner = F.struct(F.col("doc_id"), _digest(F.coalesce("text", F.lit(""))).alias("digest"))
-    bodies = rows.select(owner.alias("doc_id"), "text")
-    lines = lines_of(bodies, min_chars)
-    narrow, _ = cut(lines.select(F.struct("doc_id.doc_id", "doc_id.digest", "line_no").alias("place"), _digest(F.col("line")).alias("id")), "lines")
-    links = line_links(lines.select("line"), bucket=bucket) if edits is None else longer_links(lines.select("line"), edits=edits, bucket=bucket)
-    nodes = connected_components(links, "lines")
-    counts = narrow.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    grouped = counts.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
-    kept = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where(F.col("n") > 1)
-    repeated = grouped.select("id", "component").join(kept.select("component", "kept"), "component").select("id", "kept")
-    removed = narrow.join(repeated, "id").where(F.col("place") != F.col("kept")).select("place.*")
-    removed = removed.groupBy("doc_id", "digest").agg(F.collect_set("line_no").alias("gone"))
-    removed = removed.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "gone")
-    joined = rows.withColumn("digest", _digest(F.coalesce("text", F.lit("")))).join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
-    parts = F.split("text", "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.element_at(F.col("parts"), i + 1)), "\n"))
-    out = joined.withColumn("parts", parts)
-    n_lines = F.coalesce(F.size("parts"), F.lit(0))
-    return out.select(*(["doc"] if carry else []), "doc_id", F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), text.alias("kept_text"))
+    # A row's place in the order: its id and the hash of its text, so that rows of one id can be told apart.
+    rows = carried(docs, id_col, text_col, carry).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    lines = lines_of(rows.select("doc_id", "digest", "text"), edits[0][0])
+    keyed = lines.withColumn("id", _digest(F.col("line")))
+    counts, _ = cut(keyed.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
+    heavy, _ = cut(heavy_keys(counts.select("id", "n"), HEAVY).where("n > 1").select("id"), "lines-heavy")
+    often = keyed.join(F.broadcast(heavy), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    links = line_links(anti_heavy(keyed, heavy, "id").select("line").unionByName(often.select("line")), edits=edits, bucket=bucket)
+    nodes = connected_components(links, "lines").withColumnRenamed("node", "id")
+
+    # Of ids that repeat or have links: their class's first place.
+    classes = counts.join(nodes, "id", "left").where((F.col("n") > 1) | F.col("component").isNotNull()).select("id", "first", F.coalesce("component", "id").alias("component"))
+    classes, _ = cut(classes, "lines-classes")
+    kept = classes.groupBy("component").agg(F.min("first").alias("kept"))
+    repeated, _ = cut(classes.join(kept, "component").select("id", "kept"), "lines-repeated")
+    places = passing(keyed.select("id", "place"), bit_filter(repeated.select(F.xxhash64("id").alias("no"))), F.xxhash64("id"))
+    # Heavy lines meet their class in place; the others, at the class's key.
+    hit = places.join(F.broadcast(repeated.join(F.broadcast(heavy), "id", "left_semi")), "id").unionByName(anti_heavy(places, heavy, "id").join(anti_heavy(repeated, heavy, "id"), "id").select("id", "place", "kept"))
+    removed = hit.where(F.col("place") != F.col("kept")).groupBy("place.doc_id", "place.digest").agg(F.collect_set("place.line_no").alias("gone"))
+    removed, _ = cut(removed.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "gone"), "lines-removed")
+
+    owner = lambda a, b: F.xxhash64(a, b)
+    filled = bit_filter(removed.select(owner("r_id", "r_digest").alias("no")))
+    touched = passing(rows, filled, owner("doc_id", "digest")).join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").drop("r_id", "r_digest")
+    untouched = passing(rows, filled, owner("doc_id", "digest"), inside=False).withColumn("gone", F.lit(None).cast("array<int>"))
+    n_lines = lambda: F.greatest(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0)).cast("long")
+
+    def result(df: DataFrame, text: Column, n_removed: Column) -> DataFrame:
+        return df.select(*(["doc"] if carry else []), "doc_id", n_lines().alias("n_lines"), n_removed.cast("long").alias("n_removed"), text.alias("kept_text"))
+
+    stay = F.array_except(F.sequence(F.lit(0), F.size(F.col("parts")) - 1), F.col("gone"))
+    shorter = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("parts"), i + 1)), "\n"))
+    first = result(touched.withColumn("parts", F.split("text", "\n", -1)), shorter, F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)))
+    return first.unionByName(result(untouched, F.col("text"), F.lit(0)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -282,19 +263,40 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: Pairs are found by comparing lines whose lengths differ by at most one; classes by following links to the smallest.
-ORACLE_SQL = r"""
+def _oracle(edits: tuple = EDITS) -> str:
+    """DuckDB SQL: pairs of lines with a part in common, of (edits + 1) parts of the shorter, at the places it can be in
+    the other; code points compared by a band of diagonals; classes by following links to the smallest."""
+    most = max(k for _, k in edits)
+    hit = " + ".join(f"CASE WHEN x[s[1] + {d + most + 1}] = c[1] THEN {1 << (d + most)} ELSE 0 END" for d in range(-most, most + 1))
+    state = [f"s[2] & ({hit})"]
+    for e in range(1, most + 1):
+        state.append(f"((s[{e + 2}] & ({hit})) | s[{e + 1}] | (s[{e + 1}] >> 1) | (({state[-1]}) << 1)) & {(1 << (2 * most + 1)) - 1}")
+    start = ", ".join(str(((1 << (e + 1)) - 1) << most) for e in range(most + 1))
+    reached = f"list_reduce(list_prepend([0, {start}], y), lambda s, c: [s[1] + 1, {', '.join(state)}])"
+    allowed = "CASE " + " ".join(f"WHEN n >= {low} THEN {k}" for low, k in reversed(edits)) + " ELSE -1 END"
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
   SELECT doc_id, ls[k] AS line, k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM d)
 ), u AS (
-  SELECT row_number() OVER (ORDER BY line) AS id, line, length(line) AS n FROM (SELECT DISTINCT line FROM l WHERE length(line) >= 20)
+  SELECT row_number() OVER (ORDER BY line) AS id, line, length(line) AS n, {allowed.replace('n >=', 'length(line) >=')} AS e
+  FROM (SELECT DISTINCT line FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')
+), seg AS (
+  SELECT id, n, e, p, n * p // (e + 1) AS s, substr(line, n * p // (e + 1) + 1, n * (p + 1) // (e + 1) - n * p // (e + 1)) AS part
+  FROM u, range(0, {max(k for _, k in edits) + 1}) t(p) WHERE e > 0 AND p <= e
+), shapes AS (
+  SELECT DISTINCT n, e, p, s, length(part) AS w FROM seg
+), probe AS (
+  SELECT u.id, h.n, h.p, substr(u.line, h.s + o + 1, h.w) AS part
+  FROM shapes h JOIN u ON u.n >= h.n AND u.n <= h.n + h.e, range(-{max(k for _, k in edits)}, {max(k for _, k in edits) + 1}) t(o) WHERE abs(o) <= h.e AND h.s + o >= 0
+), c0 AS (
+  SELECT DISTINCT seg.id AS x, probe.id AS y FROM seg JOIN probe ON seg.n = probe.n AND seg.p = probe.p AND seg.part = probe.part AND seg.id <> probe.id
+), c1 AS (
+  SELECT a.id AS ia, b.id AS ib, least(a.e, b.e) AS e, a.n - b.n AS d, list_concat([{", ".join(["-1"] * most)}], list_transform(regexp_extract_all(a.line, '(?s).'), lambda z: unicode(z))) AS x, list_transform(regexp_extract_all(b.line, '(?s).'), lambda z: [unicode(z)]) AS y
+  FROM c0 JOIN u a ON c0.x = a.id JOIN u b ON c0.y = b.id WHERE levenshtein(a.line, b.line) <= 4 * least(a.e, b.e) AND abs(a.n - b.n) <= least(a.e, b.e)
 ), e AS (
-  SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.n = b.n AND left(a.line, a.n // 2) = left(b.line, b.n // 2) AND a.id <> b.id WHERE levenshtein(a.line, b.line) <= 1
-  UNION SELECT a.id, b.id FROM u a JOIN u b ON a.n = b.n AND substr(a.line, a.n // 2 + 1) = substr(b.line, b.n // 2 + 1) AND a.id <> b.id WHERE levenshtein(a.line, b.line) <= 1
-  UNION SELECT a.id, b.id FROM u a JOIN u b ON a.n + 1 = b.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) WHERE levenshtein(a.line, b.line) <= 1
-  UNION SELECT a.id, b.id FROM u a JOIN u b ON a.n + 1 = b.n AND substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 2) WHERE levenshtein(a.line, b.line) <= 1
+  SELECT ia AS x, ib AS y FROM (SELECT ia, ib, e, d, {reached} AS r FROM c1) WHERE (r[e + 2] & (1 << (d + {most}))) > 0
 ), s AS (
   SELECT x, y FROM e UNION SELECT y, x FROM e
 ), r AS (
@@ -309,3 +311,6 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+ORACLE_SQL = _oracle()

@@ -119,22 +119,46 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
     return sa
 
 
-def _names(t: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray:
-    """Names of LMS substrings, by their order: equal ones have one name. In the order of ``sorted_lms``."""
-    length = np.zeros(len(t), np.int64)
-    length[lms[:-1]] = np.diff(lms) + 1
-    length[lms[-1]] = 1
-    a, b = sorted_lms[:-1], sorted_lms[1:]
-    differs = length[a] != length[b]
-    left = np.flatnonzero(~differs)
-    k = 0
-    while len(left):
-        unequal = t[a[left] + k] != t[b[left] + k]
-        differs[left[unequal]] = True
-        k += 1
-        left = left[~unequal]
-        left = left[length[a[left]] > k]
-    return np.concatenate([[0], np.cumsum(differs)])
+def _sorted_substrings(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """LMS suffixes in the order of their substrings, and the substrings' names by that order: equal ones have one name.
+
+    A substring goes up to the next LMS symbol, types count, so none is the beginning of another. Symbols are compared
+    some at a time, packed into words; what ties goes on to its next word.
+    """
+    n, width = len(t), (2 * size + 1).bit_length()
+    per = max(1, 63 // width)
+    length = np.ones(len(lms), np.int64)
+    length[:-1] = np.diff(lms) + 1
+    coded = np.zeros(n + per, np.uint64)
+    coded[:n] = t.astype(np.uint64) * np.uint64(2) + small + np.uint64(1)
+    words = coded[:n].copy()
+    for k in range(1, per):
+        words = (words << np.uint64(width)) | coded[k : n + k]
+
+    def word(which: np.ndarray, k: int) -> np.ndarray:
+        """Symbols k to k + per of these substrings, without what is beyond their ends."""
+        beyond = np.maximum(k + per - length[which], 0).astype(np.uint64) * np.uint64(width)
+        return words[lms[which] + k] >> beyond << beyond
+
+    first = word(np.arange(len(lms)), 0)
+    order = np.argsort(first, kind="stable")
+    new = np.ones(len(lms), bool)
+    new[1:] = first[order[1:]] != first[order[:-1]]
+    k = per
+    while True:
+        group = np.cumsum(new) - 1
+        alone = new & np.append(new[1:], True)
+        left = np.flatnonzero(~alone & (length[order] > k))  # whole groups: ties so far are of one length, or go on
+        if not len(left):
+            return lms[order], group
+        which, of = order[left], group[left]
+        values = word(which, k)
+        again = np.lexsort((values, of))
+        order[left] = which[again]
+        of, values = of[again], values[again]
+        new[left[1:]] = (of[1:] != of[:-1]) | (values[1:] != values[:-1])
+        new[left[:1]] = True
+        k += per
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
@@ -142,75 +166,55 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
-    if size > 4096 and n > size // 64:
-        return np.array(_suffix_list(t.tolist(), size), np.int64)
     small = _types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = small[1:] & ~small[:-1]
     lms = np.flatnonzero(is_lms)
-    sa = _induce(t, small, lms, size)
-    sorted_lms = sa[is_lms[sa]]
-    names = _names(t, lms, sorted_lms)
+    order, names = _sorted_substrings(t, small, lms, size)
     if names[-1] + 1 < len(lms):
         name_of = np.empty(n, np.int64)
-        name_of[sorted_lms] = names
-        sorted_lms = lms[suffix_array(name_of[lms], int(names[-1]) + 1)]
-    return _induce(t, small, sorted_lms, size)
+        name_of[order] = names
+        order = lms[suffix_array(name_of[lms], int(names[-1]) + 1)]
+    if size > 4096 and n > size // 64:
+        return _induce_list(t, small, order, size)
+    return _induce(t, small, order, size)
 
 
-def _suffix_list(t: list[int], size: int) -> list[int]:
-    """The same by lists, for texts of many symbols, where batches would be short."""
+def _induce_list(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The same as ``_induce`` by lists, for texts of many symbols, where batches would be short."""
     n = len(t)
-    if n == 1:
-        return [0]
-    array = np.array(t, np.int64)
-    kinds = _types(array)
     before = np.arange(-1, n - 1)
     # What stands before each suffix, if that is larger (smaller) than the suffix after it; the end otherwise.
-    larger = np.where(kinds[before], n, before).tolist()
-    smaller = np.where(kinds[before], before, n).tolist()
+    larger = np.where(small[before], n, before)
+    smaller = np.where(small[before], before, n)
     larger[0] = smaller[0] = n
-    is_lms = np.zeros(n, bool)
-    is_lms[1:] = kinds[1:] & ~kinds[:-1]
-    lms = np.flatnonzero(is_lms)
-    counts = np.bincount(array, minlength=size)
+    counts = np.bincount(t, minlength=size)
     ends = np.cumsum(counts)
-
-    def induce(order: np.ndarray) -> list[int]:
-        filled = np.full(n, -1, np.int64)
-        o, within, found = _grouped(array[order], size)
-        filled[(ends - found)[array[order[o]]] + within] = order[o]
-        sa = filled.tolist()
-        heads = (ends - counts).tolist()
-        for i in sa:
-            if i >= 0:
-                j = larger[i]
-                if j < n:
-                    c = t[j]
-                    h = heads[c]
-                    sa[h] = j
-                    heads[c] = h + 1
-        tails = ends.tolist()
-        k = n
-        while k:
-            k -= 1
-            i = sa[k]
-            if i >= 0:
-                j = smaller[i]
-                if j < n:
-                    c = t[j]
-                    tails[c] = h = tails[c] - 1
-                    sa[h] = j
-        return sa
-
-    sa = np.array(induce(lms), np.int64)
-    sorted_lms = sa[is_lms[sa]]
-    names = _names(array, lms, sorted_lms)
-    if names[-1] + 1 < len(lms):
-        name_of = np.empty(n, np.int64)
-        name_of[sorted_lms] = names
-        sorted_lms = lms[_suffix_list(name_of[lms].tolist(), int(names[-1]) + 1)]
-    return induce(sorted_lms)
+    filled = np.full(n + 1, -1, np.int64)
+    o, within, found = _grouped(t[lms], size)
+    filled[(ends - found)[t[lms[o]]] + within] = lms[o]
+    sa, symbols = filled.tolist(), t.tolist()
+    larger, smaller, heads = larger.tolist(), smaller.tolist(), (ends - counts).tolist()
+    for i in sa:
+        if i >= 0:
+            j = larger[i]
+            if j < n:
+                c = symbols[j]
+                h = heads[c]
+                sa[h] = j
+                heads[c] = h + 1
+    tails = ends.tolist()
+    k = n
+    while k:
+        k -= 1
+        i = sa[k]
+        if i >= 0:
+            j = smaller[i]
+            if j < n:
+                c = symbols[j]
+                tails[c] = h = tails[c] - 1
+                sa[h] = j
+    return np.array(sa[:n], np.int64)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

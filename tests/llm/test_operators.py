@@ -355,7 +355,7 @@ def test_suffix_array():
     for _ in range(150):
         symbols = [rnd.randrange(rnd.choice([1, 2, 3, 250])) + 1 for _ in range(rnd.randint(1, 60))] * rnd.choice([1, 3]) + [0]
         want = sorted(range(len(symbols)), key=lambda i: symbols[i:])
-        assert suffix_dedup.suffix_array(np.array(symbols), 258).tolist() == want == suffix_dedup._suffix_list(symbols, 260)
+        assert suffix_dedup.suffix_array(np.array(symbols), 258).tolist() == want == suffix_dedup.suffix_array(np.array(symbols), 4100).tolist()  # by lists, where it is long enough
         common = suffix_dedup.permuted_prefixes(np.array(symbols), np.array(want), 9)
         for a, b in zip(want, want[1:]):
             n = 0
@@ -422,7 +422,7 @@ def test_line_links(spark, bucket):
         lines.add(changed(rnd.choice(sorted(lines))))
     lines |= {"".join(rnd.choice("abc") for _ in range(rnd.randint(3, 12))) for _ in range(60)}
     by = {hashlib.md5(x.encode()).digest(): x for x in lines}
-    found = [(by[bytes(r.a)], by[bytes(r.b)]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in sorted(lines)] * 2, "line string"), bucket=bucket).collect()]
+    found = [(by[bytes(r.a)], by[bytes(r.b)]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in sorted(lines)] * 2, "line string"), edits=((2, 1),), bucket=bucket).collect()]
     assert all(a != b and near(a, b) for a, b in found)
     assert components(lines, found) == components(lines, [(a, b) for a in lines for b in lines if a < b and near(a, b)])
 
@@ -436,8 +436,23 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_within_edits(spark):
+    rnd, rows = random.Random(3), []
+    for _ in range(300):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 14)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    split = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    out = df.select("a", "b", *[line_dedup.within_edits(split("a"), split("b"), k).alias(f"k{k}") for k in (1, 2, 4)]).collect()
+    assert all(r[f"k{k}"] == (edit_distance(r.a, r.b) <= k) for r in out for k in (1, 2, 4))
+
+
 @pytest.mark.parametrize("bucket", [1, 1000])
-def test_longer_links_by_brute_force(spark, bucket):
+def test_growing_edits_by_brute_force(spark, bucket):
     rnd, lines = random.Random(9), set()
 
     def changed(s):
@@ -448,18 +463,18 @@ def test_longer_links_by_brute_force(spark, bucket):
         base = "".join(rnd.choice("abcdefgh é") for _ in range(n))
         for _ in range(14):
             s = base
-            for _ in range(rnd.randint(0, 10)):
+            for _ in range(rnd.randint(0, 5)):
                 s = changed(s)
             lines.add(s)
     lines = sorted(lines)
-    allowed = lambda n: max([k for low, k in line_dedup.LONGER if n >= low], default=-1)
-    want = [(a, b) for a in lines for b in lines if b < a and abs(len(a) - len(b)) <= 8 and edit_distance(a, b) <= allowed(min(len(a), len(b)))]
+    allowed = lambda n: max([k for low, k in line_dedup.EDITS if n >= low], default=-1)
+    want = [(a, b) for a in lines for b in lines if b < a and abs(len(a) - len(b)) <= 4 and edit_distance(a, b) <= allowed(min(len(a), len(b)))]
     by = {hashlib.md5(x.encode()).digest(): x for x in lines}
-    found = [(by[bytes(r.a)], by[bytes(r.b)]) for r in line_dedup.longer_links(spark.createDataFrame([(x,) for x in lines] * 2, "line string"), bucket=bucket).collect()]
+    found = [(by[bytes(r.a)], by[bytes(r.b)]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in lines] * 2, "line string"), edits=line_dedup.EDITS, bucket=bucket).collect()]
     assert components(lines, found) == components(lines, want)
     assert all(edit_distance(a, b) <= allowed(min(len(a), len(b))) for a, b in found)
     # Lines that one edit doesn't reach.
-    assert any(edit_distance(a, b) > 4 for a, b in want) and components(lines, want) != components(lines, [(a, b) for a, b in want if near(a, b)])
+    assert any(edit_distance(a, b) == 4 for a, b in want) and components(lines, want) != components(lines, [(a, b) for a, b in want if near(a, b)])
 
 
 def test_line_dedup_edges(spark):
@@ -467,7 +482,7 @@ def test_line_dedup_edges(spark):
     rows = [(2, f"{line}\nshort\nshort"), (1, f"{line}!\nother"), (3, line), (4, None), (5, ""), (3, line), (None, f"first\n{line}?"), (6, LONG), (7, LONG[:-1] + "\n")]
     got = line_dedup.dedup_lines(docs(spark, rows), carry=True)
     out = {(r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got.collect()}
-    assert (None, 2, 0, f"first\n{line}?") in out and (1, 2, 1, "other") in out and (2, 3, 1, "short\nshort") in out
+    assert (None, 2, 0, f"first\n{line}?") in out and (1, 2, 1, "other") in out and (2, 3, 2, "short") in out
     assert (3, 1, 1, "") in out and (4, 0, 0, None) in out and (5, 1, 0, "") in out and (6, 1, 0, LONG) in out
     assert (7, 2, 1, "") in out and got.count() == len(rows)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
