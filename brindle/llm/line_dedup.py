@@ -11,8 +11,9 @@ index by the substrings at those places; lines a little longer than a step probe
 are verified by a banded bit-parallel edit distance: 2k + 1 diagonals, a machine word of matches for each character.
 
 The index travels once. An entry that many lines share would yield pairs by the square: it is taken apart by pivots.
-Edit distance is a metric, so lines within k edits of the pivot are linked to it, and only meet lines that are at most
-k farther from it. Entries that hold a thousandth of a sample are dealt over several tasks.
+Edit distance is a metric, so lines within k edits of the pivot are linked to it, and of the others only such can be near
+them as are at most k farther from it. Those, and what pivots leave, meet by their k + 1 rarest segments. Entries that hold
+a thousandth of a sample are dealt over several tasks.
 
 Texts stay where they are: lines travel as digests and keys. Only the texts of candidates move, and at the end the
 documents that lose lines; filters of fixed size tell the others before the shuffle, and what they let through in vain
@@ -29,25 +30,26 @@ from pyspark.sql import functions as F
 from .common import anti_heavy, bit_filter, carried, connected_components, cut, heavy_keys, passing
 
 #: Least length of a line, and edits from there on.
-EDITS = ((1, 0), (20, 1), (36, 2), (72, 3), (144, 4))
+EDITS = ((1, 0), (20, 1), (36, 2), (72, 3))
 #: At most so many lines, or index entries, count as heavy: those with more than that share of all.
 HEAVY = 10_000
 _SPREAD = 64
+#: Longer lines aren't measured by Spark's distance.
+_LONG = 4000
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
-
-
-def _blank(line: Column) -> Column:
-    """Of white space alone: no content that could repeat."""
-    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""
+def line_id(line: Column) -> Column:
+    """128 bits that tell lines apart: two hashes of different seeds."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"))
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(place, line) of each line with content and of at least ``least`` characters; docs has doc_id, digest and text."""
-    found = docs.select("doc_id", "digest", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return found.where((F.length("line") >= least) & ~_blank(F.col("line"))).select(F.struct("doc_id", "digest", "line_no").alias("place"), "line")
+    found = docs.select("doc_id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    found = found.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    if least > 1:
+        found = found.where(F.length("line") >= least)
+    return found.select(F.struct("doc_id", "digest", "line_no").alias("place"), "line")
 
 
 def _allowed(n: Column, edits: tuple) -> Column:
@@ -132,32 +134,67 @@ def _check(edits: tuple) -> None:
             raise ValueError(f"step {step} of the edits")
 
 
-def line_links(lines: DataFrame, *, edits: tuple = EDITS, bucket: int = 32, rounds: int = 8) -> DataFrame:
-    """(a, b), b < a: digests of distinct lines within the edits that the shorter one's length allows, enough to keep every connection.
+def _rare_pairs(texts: DataFrame, edits: tuple) -> DataFrame:
+    """(a, b): pairs of ``texts`` (no, line, n) that may be within their edits, by segments that few lines have.
+
+    Of any k + 1 segments of a line that don't overlap, one stands in each line within k edits. Of all segments at
+    multiples of a length the k + 1 rarest are taken, and the lines that hold one of them anywhere are its candidates.
+    """
+    steps = [(step, low, k) for step, (low, k) in enumerate(edits) if k]
+    grams = held = F.array().cast("array<struct<key:bigint,k:int>>")
+    n, line = F.col("n"), F.col("line")
+
+    def length(step: int) -> int:
+        return max(1, edits[step][0] // (2 * edits[step][1] + 2))
+
+    def at(places: Column, step: int, k: int) -> Column:
+        size = F.lit(length(step))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(step), F.substr(line, i, size)).alias("key"), F.lit(k).alias("k")))
+
+    for step, low, k in steps:
+        size = length(step)
+        own = at(F.sequence(F.lit(1), n - size + 1, F.lit(size)), step, k)
+        every = at(F.sequence(F.lit(1), n - size + 1), step, k)
+        if step and (under := edits[step - 1])[1]:
+            shorter = at(F.sequence(F.lit(1), n - length(step - 1) + 1), step - 1, k)
+            every = F.when(n < low + under[1], F.concat(every, shorter)).otherwise(every)
+        grams, held = F.when(n >= low, own).otherwise(grams), F.when(n >= low, every).otherwise(held)
+    spread, _ = cut(texts.select("no", F.explode(held).alias("e")).select("no", "e.key").distinct(), "lines-grams")
+    often = spread.groupBy("key").agg(F.count("*").alias("often"))
+    segments = texts.select("no", F.explode(F.array_distinct(grams)).alias("e")).select("no", "e.*").join(often, "key")
+    # A segment that a line has twice counts once: then the line has fewer than k + 1, and all of them are taken.
+    rare = segments.groupBy("no").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "key"))), 1, F.first("k") + 1).alias("e"))
+    rare = rare.select(F.col("no").alias("x"), F.explode("e").alias("e")).select("x", "e.key")
+    return rare.join(spread, "key").where("x != no").select(F.greatest("x", "no").alias("a"), F.least("x", "no").alias("b")).distinct()
+
+
+def line_links(lines: DataFrame, *, edits: tuple = EDITS, bucket: int = 32, rounds: int = 4) -> DataFrame:
+    """(a, b), b < a: ids of distinct lines within the edits that the shorter one's length allows, enough to keep every connection.
 
     ``lines`` has line; lines that repeat very often should have been taken out. ``edits`` has steps (least length,
-    edits, 4 at most), neither falling; a step's least length is over its edits, and a step is longer than the edits of the one
-    below. Lines under the first length have no links. Results mean the same for any ``bucket`` and ``rounds``.
+    edits, 4 at most), neither falling; a step's least length is over its edits, and a step is longer than the edits of
+    the one below. Lines under the first length have no links. Results mean the same for any ``bucket`` and ``rounds``.
     """
     _check(edits)
     if not any(k for _, k in edits):
-        return lines.select(_digest(F.col("line")).alias("a"), _digest(F.col("line")).alias("b")).where(F.lit(False))
+        return lines.select(line_id(F.col("line")).alias("a"), line_id(F.col("line")).alias("b")).where(F.lit(False))
     lines = lines.where(F.length("line") >= min(low for low, k in edits if k))
     number = F.xxhash64("line").bitwiseAND(F.lit(-2))  # of a line; the lowest bit tells probes
     entries_of = lambda df: df.select(number.alias("no"), F.explode(_segment_keys(F.col("line"), edits)).alias("e")).select("e.key", F.col("no").bitwiseOR(F.col("e.probe")).alias("v"))
     no, probe = F.col("v").bitwiseAND(F.lit(-2)), F.col("v").bitwiseAND(F.lit(1))
     hot, _ = cut(heavy_keys(entries_of(lines.sample(1 / 64, seed=1)).groupBy("key").agg(F.count("*").alias("n")), 1000).where("n > 32"), "lines-hot")
+    # The entries of a hot key are dealt out by line; others have no deal (-1).
     dealt = entries_of(lines).join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
-    dealt = dealt.select("key", "v", F.when(F.col("hot"), F.pmod(F.shiftright("v", 1), F.lit(_SPREAD))).otherwise(0).cast("byte").alias("deal"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.select("key", "v", F.when(F.col("hot"), F.pmod(F.shiftright("v", 1), F.lit(_SPREAD))).otherwise(-1).cast("byte").alias("deal"))
     dealt = dealt.repartition("key", "deal")  # the one shuffle of the index; both uses below read it
-    ends = dealt.groupBy("key", "deal").agg(F.min(no).alias("low"), F.max(no).alias("high"), F.min(probe).alias("only"), F.max("hot").alias("hot"))
-    ends = ends.where(F.col("hot") | (F.col("low") < F.col("high")) & (F.col("only") == 0)).select("key", "deal")
-    members = dealt.join(ends, ["key", "deal"]).groupBy("key", "deal", no.alias("no")).agg(F.min(probe).alias("probe"))
-    members, _ = cut(members.select("key", "no", "probe"), "lines-members")
+    ends = dealt.groupBy("key", "deal").agg(F.min(no).alias("low"), F.max(no).alias("high"), F.min(probe).alias("only"))
+    ends = ends.where((F.col("deal") >= 0) | (F.col("low") < F.col("high")) & (F.col("only") == 0)).select("key", "deal")
+    members = dealt.join(ends, ["key", "deal"]).groupBy("key", "deal", no.alias("no")).agg(F.min(probe).alias("probe"), F.count("*").alias("times"))
+    members, _ = cut(members.select("key", "no", "probe", "times"), "lines-members")
 
     wanted = passing(lines, bit_filter(members.select("no")), number)
     texts = wanted.withColumn("no", number).join(members.select("no").distinct(), "no", "left_semi")
-    texts = texts.groupBy("no", _digest(F.col("line")).alias("id")).agg(F.first("line").alias("line"))
+    texts = texts.groupBy("no", line_id(F.col("line")).alias("id")).agg(F.first("line").alias("line"))
     texts, _ = cut(texts.withColumn("n", F.length("line")), "lines-candidates")
     members, _ = cut(members.join(texts.groupBy("no").agg(F.min("n").alias("n")), "no"), "lines-measured")
     both_of = lambda pairs: pairs.join(texts.select(F.col("no").alias("a"), F.col("id").alias("ia"), F.col("line").alias("la"), F.col("n").alias("na")), "a").join(texts.select(F.col("no").alias("b"), F.col("id").alias("ib"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
@@ -165,48 +202,51 @@ def line_links(lines: DataFrame, *, edits: tuple = EDITS, bucket: int = 32, roun
     limit = _allowed(F.least("na", "nb"), edits)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b): digests of those ``pairs`` (a, b) that are within their edits."""
+        """(a, b): ids of those ``pairs`` (a, b) that are within their edits. Cheap tests come before the words of bits."""
         out = both_of(pairs).withColumn("k", limit)
         alike, near = F.lit(False), F.lit(False)
         for k in steps:
             alike = F.when(F.col("k") == k, _alike(F.col("la"), F.col("lb"), k)).otherwise(alike)
             near = F.when(F.col("k") == k, within_edits(F.split("la", ""), F.split("lb", ""), k)).otherwise(near)
-        out = out.where((F.abs(F.col("na") - F.col("nb")) <= F.col("k")) & alike).where(near)
+        # Spark's distance takes the square of the length, the words of bits don't.
+        hopeful = F.when(F.greatest("na", "nb") <= _LONG, F.call_function("levenshtein", F.col("la"), F.col("lb"), F.col("k")) >= 0).otherwise(True)
+        out = out.where((F.abs(F.col("na") - F.col("nb")) <= F.col("k")) & alike).where(hopeful).where(near)
         return out.select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
 
-    # What is found is written round by round, so that no plan grows with the rounds; they end when they take little away.
-    found, left, more, before = [], members, None, None
+    # Large entries: the line that came most often is the pivot. What is found is written round by round.
+    more, left, before = None, members, None
     for i in range(rounds + 1):
-        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("no").alias("pivot"), F.min("probe").alias("only"))
-        sized = left.join(sizes.where((F.col("size") > 1) & (F.col("only") == 0)).drop("only"), "key")
-        large = sized.where(F.col("size") > bucket)
-        now = large.count()
-        last = i == rounds or now == 0 or before is not None and 4 * now > 3 * before
-        before = now
-        small = sized if last else sized.where(F.col("size") <= bucket)
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("times", "no")).alias("pivot"), F.min("probe").alias("only"))
+        sized = left.join(sizes.where((F.col("size") > 1) & (F.col("only") == 0)).select("key", "size", F.col("pivot.no").alias("pivot")), "key")
+        small = sized.where(F.col("size") <= bucket)
         of = lambda c: small.select("key", F.col("no").alias(c), F.col("n").alias(f"n{c}"), F.col("probe").alias(f"p{c}"))  # noqa: E731, B023
         pairs = of("a").join(of("b"), "key").where((F.col("a") > F.col("b")) & (F.col("pa") + F.col("pb") < 2) & (F.abs(F.col("na") - F.col("nb")) <= limit)).select("a", "b")
         pairs, _ = cut(pairs.distinct(), "lines-pairs")
         more = pairs if more is None else more.unionByName(pairs)
-        if last:
+        large = sized.where(F.col("size") > bucket)
+        now = large.count()
+        if now == 0:
             break
+        if i == rounds or before is not None and 4 * now > 3 * before:
+            rest = texts.join(large.select("no").distinct(), "no", "left_semi")
+            more = more.unionByName(cut(_rare_pairs(rest, edits), "lines-rare")[0])
+            break
+        before = now
         # Distances to the pivots, up to twice the edits that any line is allowed, since rings are that wide.
         most = steps[-1]
-        far = F.call_function("levenshtein", F.col("la"), F.col("lb"), F.lit(2 * most))
+        far = F.when(F.greatest("na", "nb") <= _LONG, F.call_function("levenshtein", F.col("la"), F.col("lb"), F.lit(2 * most)))
         to_pivot = both_of(large.where("no != pivot").select(F.col("no").alias("a"), F.col("pivot").alias("b")).distinct())
         to_pivot, _ = cut(to_pivot.select("a", "b", far.alias("d"), limit.alias("k")), "lines-pivots")
         near = (F.col("d") >= 0) & (F.col("d") <= F.col("k"))
-        found.append(to_pivot.where(near).select("a", "b"))
         seen = large.where("no != pivot").join(to_pivot.select(F.col("a").alias("no"), F.col("b").alias("pivot"), "d", "k"), ["no", "pivot"])
+        # A line near the pivot is linked to it, and leaves. It could still be near a line that isn't, at most so much farther away.
         inner = seen.where(near).select("key", F.col("no").alias("x"), F.col("d").alias("dx"))
         ring = seen.where(~near & (F.col("d") >= 0)).select("key", F.col("no").alias("y"), F.col("d").alias("dy"))
-        crossed = inner.join(ring, "key").where(F.col("dy") <= F.col("dx") + most)
-        crossed, _ = cut(crossed.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "lines-crossed")
-        more = more.unionByName(crossed)
-        left, _ = cut(seen.where(~near).select("key", "no", "probe", "n"), "lines-left")
-    # Pivots' lines are verified like any others: what they were measured by only tells rings.
-    for x in found:
-        more = more.unionByName(x)
+        crossed = inner.join(ring, "key").where(F.col("dy") <= F.col("dx") + most).select(F.col("x").alias("no")).union(inner.join(ring, "key").where(F.col("dy") <= F.col("dx") + most).select("y")).distinct()
+        crossed, _ = cut(crossed.union(seen.where("d IS NULL").select("no")).distinct(), "lines-crossed")
+        more = more.unionByName(to_pivot.where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        more = more.unionByName(cut(_rare_pairs(texts.join(crossed, "no", "left_semi"), edits), "lines-rare")[0])
+        left, _ = cut(seen.where(F.coalesce(~near, F.lit(True))).select("key", "no", "probe", "times", "n"), "lines-left")
     return verified(more.distinct()).where("a != b").distinct()
 
 
@@ -223,21 +263,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # A row's place in the order: its id and the hash of its text, so that rows of one id can be told apart.
     rows = carried(docs, id_col, text_col, carry).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     lines = lines_of(rows.select("doc_id", "digest", "text"), edits[0][0])
-    keyed = lines.withColumn("id", _digest(F.col("line")))
-    counts, _ = cut(keyed.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
-    heavy, _ = cut(heavy_keys(counts.select("id", "n"), HEAVY).where("n > 1").select("id"), "lines-heavy")
-    often = keyed.join(F.broadcast(heavy), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    links = line_links(anti_heavy(keyed, heavy, "id").select("line").unionByName(often.select("line")), edits=edits, bucket=bucket)
-    nodes = connected_components(links, "lines").withColumnRenamed("node", "id")
+    places, _ = cut(lines.select("place", line_id(F.col("line")).alias("id")), "lines")
+    counts, _ = cut(places.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines-counts")
+    heavy, _ = cut(heavy_keys(counts, HEAVY).where("n > 1").select("id", "first"), "lines-heavy")
+    # Of heavy lines the first one is indexed; all others as often as they come.
+    once = lines.withColumn("id", line_id(F.col("line"))).join(F.broadcast(heavy), "id", "left").where(F.col("first").isNull() | (F.col("first") == F.col("place")))
+    nodes = connected_components(line_links(once.select("line"), edits=edits, bucket=bucket), "lines").withColumnRenamed("node", "id")
 
     # Of ids that repeat or have links: their class's first place.
     classes = counts.join(nodes, "id", "left").where((F.col("n") > 1) | F.col("component").isNotNull()).select("id", "first", F.coalesce("component", "id").alias("component"))
     classes, _ = cut(classes, "lines-classes")
     kept = classes.groupBy("component").agg(F.min("first").alias("kept"))
     repeated, _ = cut(classes.join(kept, "component").select("id", "kept"), "lines-repeated")
-    places = passing(keyed.select("id", "place"), bit_filter(repeated.select(F.xxhash64("id").alias("no"))), F.xxhash64("id"))
     # Heavy lines meet their class in place; the others, at the class's key.
-    hit = places.join(F.broadcast(repeated.join(F.broadcast(heavy), "id", "left_semi")), "id").unionByName(anti_heavy(places, heavy, "id").join(anti_heavy(repeated, heavy, "id"), "id").select("id", "place", "kept"))
+    often = heavy.select("id")
+    near = anti_heavy(passing(places, bit_filter(repeated.select(F.col("id.h").alias("no"))), F.col("id.h")), often, "id")
+    hit = places.join(F.broadcast(repeated.join(F.broadcast(often), "id", "left_semi")), "id").unionByName(near.join(anti_heavy(repeated, often, "id"), "id").select(*places.columns, "kept"), allowMissingColumns=False)
     removed = hit.where(F.col("place") != F.col("kept")).groupBy("place.doc_id", "place.digest").agg(F.collect_set("place.line_no").alias("gone"))
     removed, _ = cut(removed.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "gone"), "lines-removed")
 
@@ -245,10 +286,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     filled = bit_filter(removed.select(owner("r_id", "r_digest").alias("no")))
     touched = passing(rows, filled, owner("doc_id", "digest")).join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").drop("r_id", "r_digest")
     untouched = passing(rows, filled, owner("doc_id", "digest"), inside=False).withColumn("gone", F.lit(None).cast("array<int>"))
-    n_lines = lambda: F.greatest(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0)).cast("long")
+    n_lines = F.greatest(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0)).cast("long")
 
     def result(df: DataFrame, text: Column, n_removed: Column) -> DataFrame:
-        return df.select(*(["doc"] if carry else []), "doc_id", n_lines().alias("n_lines"), n_removed.cast("long").alias("n_removed"), text.alias("kept_text"))
+        return df.select(*(["doc"] if carry else []), "doc_id", n_lines.alias("n_lines"), n_removed.cast("long").alias("n_removed"), text.alias("kept_text"))
 
     stay = F.array_except(F.sequence(F.lit(0), F.size(F.col("parts")) - 1), F.col("gone"))
     shorter = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("parts"), i + 1)), "\n"))
