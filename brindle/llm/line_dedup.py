@@ -10,8 +10,9 @@ that stands in the other line too, at most i characters away from its place as c
 index by the substrings at those places; lines a little longer than a step probe the step below as well. Candidates
 are verified by a banded bit-parallel edit distance: 2k + 1 diagonals, a machine word of matches for each character.
 
-The index travels once. An entry that many lines share would yield pairs by the square: it is taken apart by pivots.
-Edit distance is a metric, so lines within k edits of the pivot are linked to it, and of the others only such can be near
+The index travels once. An entry that many lines share would yield pairs by the square. With a threshold of one its
+lines meet by cutouts of one character, in rows by the length of a line. With a larger one it is taken apart by pivots:
+edit distance is a metric, so lines within k edits of the pivot are linked to it, and of the others only such can be near
 them as are at most k farther from it. Those, and what pivots leave, meet by their k + 1 rarest segments. Entries that hold
 a thousandth of a sample are dealt over several tasks.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import anti_heavy, bit_filter, carried, connected_components, cut, heavy_keys, passing
 
 #: Least length of a line, and edits from there on.
-EDITS = ((1, 0), (20, 1), (36, 2), (72, 3))
+EDITS = ((1, 0), (20, 1))
 #: At most so many lines, or index entries, count as heavy: those with more than that share of all.
 HEAVY = 10_000
 _SPREAD = 64
@@ -134,6 +135,38 @@ def _check(edits: tuple) -> None:
             raise ValueError(f"step {step} of the edits")
 
 
+def _cutout_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``texts`` (no, line, n) within one edit, enough to keep every connection, in rows by the length of a line.
+
+    A line is cut into some sqrt(n) blocks, and each block is taken without each of its characters, with hashes of what
+    stands before and after it: lines that agree in all but the character at one place are within one edit of each
+    other, all of them, and each is linked to the smallest; a line that is another one with a character more has a
+    cutout that is one of the other's blocks.
+    """
+
+    def blocks(n: Column, extra: int) -> Column:
+        """Blocks of a line for the partition of lines of n characters; the line has ``extra`` characters more."""
+        size = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+
+        def block(s: Column) -> Column:
+            length = F.least(size, n - s) + extra
+            return F.struct(s.alias("start"), F.xxhash64(F.substring("line", F.lit(1), s), F.substr("line", s + length + 1)).alias("around"), F.substring("line", s + 1, length).alias("block"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size), block)
+
+    def cutouts(found: Column) -> Column:
+        rest = lambda b, i: F.xxhash64(b["around"], F.concat(F.substring(b["block"], F.lit(1), i - 1), F.substr(b["block"], i + 1)))
+        return F.flatten(F.transform(found, lambda b: F.transform(F.sequence(F.lit(1), F.length(b["block"])), lambda i: F.struct((b["start"] + i).alias("place"), rest(b, i).alias("rest")))))
+
+    n = F.col("n")
+    same = texts.select("no", F.explode(cutouts(blocks(n, 0))).alias("v")).select("no", F.xxhash64("v.place", "v.rest").alias("rest"))
+    lowest = same.groupBy("rest").agg(F.min("no").alias("b"), F.max("no").alias("top")).where("b < top").drop("top")
+    replaced = same.join(lowest, "rest").where(F.col("no") != F.col("b")).select(F.col("no").alias("a"), "b")
+    shorter = texts.select(F.col("no").alias("b"), F.explode(F.transform(blocks(n, 0), lambda x: F.xxhash64(x["around"], x["block"]))).alias("rest"))
+    longer = texts.select(F.col("no").alias("a"), F.explode(cutouts(blocks(n - 1, 1))).alias("v")).select("a", "v.rest")
+    return replaced.unionByName(longer.join(shorter, "rest").select("a", "b")).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _rare_pairs(texts: DataFrame, edits: tuple) -> DataFrame:
     """(a, b): pairs of ``texts`` (no, line, n) that may be within their edits, by segments that few lines have.
 
@@ -227,6 +260,9 @@ def line_links(lines: DataFrame, *, edits: tuple = EDITS, bucket: int = 32, roun
         now = large.count()
         if now == 0:
             break
+        if steps == [1]:
+            more = more.unionByName(cut(_cutout_pairs(texts.join(large.select("no").distinct(), "no", "left_semi")), "lines-cutouts")[0])
+            break
         if i == rounds or before is not None and 4 * now > 3 * before:
             rest = texts.join(large.select("no").distinct(), "no", "left_semi")
             more = more.unionByName(cut(_rare_pairs(rest, edits), "lines-rare")[0])

@@ -457,6 +457,9 @@ def test_within_edits(spark):
     assert all(r[f"k{k}"] == (edit_distance(r.a, r.b) <= k) for r in out for k in (1, 2, 4))
 
 
+GROWING = ((1, 0), (20, 1), (36, 2), (72, 3), (144, 4))
+
+
 @pytest.mark.parametrize("bucket", [1, 1000])
 def test_growing_edits_by_brute_force(spark, bucket):
     rnd, lines = random.Random(9), set()
@@ -473,14 +476,14 @@ def test_growing_edits_by_brute_force(spark, bucket):
                 s = changed(s)
             lines.add(s)
     lines = sorted(lines)
-    allowed = lambda n: max([k for low, k in line_dedup.EDITS if n >= low], default=-1)
+    allowed = lambda n: max([k for low, k in GROWING if n >= low], default=-1)
     want = [(a, b) for a in lines for b in lines if b < a and abs(len(a) - len(b)) <= 4 and edit_distance(a, b) <= allowed(min(len(a), len(b)))]
     by = {xxh(x): x for x in lines}
-    found = [(by[r.a.h], by[r.b.h]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in lines] * 2, "line string"), edits=line_dedup.EDITS, bucket=bucket).collect()]
+    found = [(by[r.a.h], by[r.b.h]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in lines] * 2, "line string"), edits=GROWING, bucket=bucket).collect()]
     assert components(lines, found) == components(lines, want)
     assert all(edit_distance(a, b) <= allowed(min(len(a), len(b))) for a, b in found)
     # Lines that one edit doesn't reach.
-    assert any(edit_distance(a, b) == 3 for a, b in want) and components(lines, want) != components(lines, [(a, b) for a, b in want if near(a, b)])
+    assert any(edit_distance(a, b) == 4 for a, b in want) and components(lines, want) != components(lines, [(a, b) for a, b in want if near(a, b)])
 
 
 def test_line_dedup_edges(spark):
