@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import anti_heavy, bit_filter, carried, connected_components, cut, heavy_keys, passing
 
-#: Least length of a line, and edits from there on.
-EDITS = ((1, 0), (20, 1))
+#: Least length of a line, and edits from there on. Steps of equal edits have longer segments, which fewer lines share.
+EDITS = ((1, 0), (20, 1), (36, 1), (72, 1), (144, 1), (288, 1), (576, 1))
 #: At most so many lines, or index entries, count as heavy: those with more than that share of all.
 HEAVY = 10_000
 _SPREAD = 64
