@@ -4,10 +4,11 @@ Lines that are equal, or within some edits (a character replaced, inserted or de
 first line in order of (doc_id, line number) stays and the others go from their documents. The edits allowed grow with
 the length of the shorter line, in steps (``EDITS``): short lines have to be equal.
 
-A step of threshold k is indexed by k + 1 segments of one length, at fixed places: half of them from the start of a
-line, the others from its end. Of k edits, one of these two parts has fewer than it has segments, so it has a segment i
-that stands in the other line too, at most i characters away from its place as counted from that end. Lines probe the
-index by the substrings at those places; lines a little longer than a step probe the step below as well. Candidates
+With a threshold of k a line is cut into k + 1 segments, half of them counted from its start, the others from its end. Of
+k edits, one of these two parts has fewer than it has segments, so it has a segment i that stands in the other line too,
+at most i characters away from its place as counted from that end. The index has the length of a line, the number of the
+segment and the segment; lines probe it for their own length and those up to k shorter, at the places where segments can
+be. Candidates
 are verified by a banded bit-parallel edit distance: 2k + 1 diagonals, a machine word of matches for each character.
 
 The index travels once. An entry that many lines share would yield pairs by the square. With a threshold of one its
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import anti_heavy, bit_filter, carried, connected_components, cut, heavy_keys, passing
 
-#: Least length of a line, and edits from there on. Steps of equal edits have longer segments, which fewer lines share.
-EDITS = ((1, 0), (20, 1), (36, 1), (72, 1), (144, 1), (288, 1), (576, 1))
+#: Least length of a line, and edits from there on.
+EDITS = ((1, 0), (20, 1))
 #: At most so many lines, or index entries, count as heavy: those with more than that share of all.
 HEAVY = 10_000
 _SPREAD = 64
@@ -101,29 +102,29 @@ def _alike(a: Column, b: Column, k: int) -> Column:
 
 
 def _segment_keys(line: Column, edits: tuple) -> Column:
-    """(key, probe) of each index entry and probe of a line: those of its own step, and probes of the step below."""
-    n = F.length(line)
-
-    def entries(step: int, own: bool) -> Column:
-        low, k = edits[step]
-        size, left = low // (k + 1), k // 2 + 1
-
-        def entry(end: int, i: int, shift: int) -> Column:
-            start = F.lit(i * size + shift + 1) if end == 0 else n - ((i + 1) * size + shift) + 1
-            return F.struct(F.xxhash64(F.lit(step), F.lit(end), F.lit(i), F.substr(line, start, F.lit(size))).alias("key"), F.lit(int(not own or shift != 0)).cast("long").alias("probe"))
-
-        return F.array(*[entry(end, i, shift) for end, segments in enumerate((left, k + 1 - left)) for i in range(segments) for shift in range(-i, i + 1)])
-
-    out = none = F.array().cast("array<struct<key:bigint,probe:bigint>>")
-    for step, (low, k) in enumerate(edits):
-        if k == 0:
-            continue
-        found, below = entries(step, True), edits[step - 1][1] if step else 0
-        if below:
-            # Lines of this step meet shorter ones of the step below within that one's edits.
-            found = F.concat(found, F.when(n < low + below, entries(step - 1, False)).otherwise(none))
-        out = F.when(n >= low, found).otherwise(out)
-    return out
+    """(key, probe) of each index entry and probe of a line: entries for its own length, probes for it and shorter ones."""
+    n, most = F.length(line), max(k for _, k in edits)
+    none = F.array().cast("array<struct<key:bigint,probe:bigint>>")
+
+    def keys(less: int, k: int) -> Column:
+        """Those for lines that are ``less`` characters shorter, which are allowed k edits."""
+        size, left, out = n - less, k // 2 + 1, []
+        for i in range(k + 1):
+            begin, end = F.floor(size * i / (k + 1)).cast("int"), F.floor(size * (i + 1) / (k + 1)).cast("int")
+            around = i if i < left else k - i
+            for shift in range(-around, around + 1):
+                # Places count from the start of a line, those of the later segments from its end.
+                at = begin + (shift if i < left else less + shift) + 1
+                out.append(F.struct(F.xxhash64(size, F.lit(i), F.substr(line, at, end - begin)).alias("key"), F.lit(int(less > 0 or shift != 0)).cast("long").alias("probe")))
+        return F.array(*out)
+
+    parts = []
+    for less in range(most + 1):
+        found, limit = none, _allowed(n - less, edits)
+        for k in sorted({k for _, k in edits if k >= max(less, 1)}):
+            found = F.when(limit == k, keys(less, k)).otherwise(found)
+        parts.append(found)
+    return F.concat(*parts)
 
 
 def _check(edits: tuple) -> None:
@@ -131,7 +132,7 @@ def _check(edits: tuple) -> None:
         below = edits[step - 1] if step else (0, 0)
         if k > 4:
             raise ValueError("the band of over four edits does not fit a word")
-        if low < k + 1 or k < below[1] or low < below[0] + below[1]:
+        if low < k + 1 or k < below[1] or low < below[0]:
             raise ValueError(f"step {step} of the edits")
 
 
@@ -188,9 +189,10 @@ def _rare_pairs(texts: DataFrame, edits: tuple) -> DataFrame:
         size = length(step)
         own = at(F.sequence(F.lit(1), n - size + 1, F.lit(size)), step, k)
         every = at(F.sequence(F.lit(1), n - size + 1), step, k)
-        if step and (under := edits[step - 1])[1]:
-            shorter = at(F.sequence(F.lit(1), n - length(step - 1) + 1), step - 1, k)
-            every = F.when(n < low + under[1], F.concat(every, shorter)).otherwise(every)
+        for below, (_, less) in enumerate(edits[:step]):
+            if less:  # shorter lines, of the step below, within its edits
+                shorter = at(F.sequence(F.lit(1), n - length(below) + 1), below, k)
+                every = F.when(n < edits[below + 1][0] + less, F.concat(every, shorter)).otherwise(every)
         grams, held = F.when(n >= low, own).otherwise(grams), F.when(n >= low, every).otherwise(held)
     spread, _ = cut(texts.select("no", F.explode(held).alias("e")).select("no", "e.key").distinct(), "lines-grams")
     often = spread.groupBy("key").agg(F.count("*").alias("often"))
@@ -205,8 +207,7 @@ def line_links(lines: DataFrame, *, edits: tuple = EDITS, bucket: int = 32, roun
     """(a, b), b < a: ids of distinct lines within the edits that the shorter one's length allows, enough to keep every connection.
 
     ``lines`` has line; lines that repeat very often should have been taken out. ``edits`` has steps (least length,
-    edits, 4 at most), neither falling; a step's least length is over its edits, and a step is longer than the edits of
-    the one below. Lines under the first length have no links. Results mean the same for any ``bucket`` and ``rounds``.
+    edits, 4 at most), neither falling; a step's least length is over its edits. Lines under the first length have no links. Results mean the same for any ``bucket`` and ``rounds``.
     """
     _check(edits)
     if not any(k for _, k in edits):
