@@ -69,7 +69,7 @@ def plain(text: bytes) -> bytes:
 def make_blocks(docs: DataFrame, name: str, block_bytes: int = 8 << 20) -> DataFrame:
     """Blocks of documents (doc_id, text), as written to the shared folder: a null text is empty.
 
-    A block takes documents until it holds ``block_bytes`` of text; a longer text is a block by itself.
+    Ids are integers. A block takes documents until it holds ``block_bytes`` of text; a longer text is a block by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +93,8 @@ def make_blocks(docs: DataFrame, name: str, block_bytes: int = 8 << 20) -> DataF
         if texts:
             yield out()
 
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError("documents in blocks need integer ids")
     packed = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
     return cut(packed, f"{name}-blocks", {"compression": "uncompressed", "parquet.block.size": 16 << 20})[0]
 
@@ -119,10 +121,12 @@ def totals(blocks: DataFrame, name: str, keys: Callable, combine: Callable, part
         for batch in batches:
             for row in batch.to_pylist():
                 found, values = keys(row["ids"], np.array(row["ends"], np.int64), plain(row["text"]))
-                cuts = np.searchsorted(found, np.arange(partitions, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(found)]
-                full = [p for p in range(partitions) if cuts[p + 1] > cuts[p]]
+                # Only partitions that the block has keys for: never more rows than keys.
+                full, cuts = np.unique(found >> np.uint64(64 - bits), return_index=True)
+                full, ends = full.tolist(), np.append(cuts[1:], len(found)).tolist()
+                spans = list(zip(cuts.tolist(), ends))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(full)), pa.array(full, pa.int32()), pa.array([pack(found[cuts[p] : cuts[p + 1]], True) for p in full], pa.binary()), pa.array([[pack(v[cuts[p] : cuts[p + 1]]) for v in values] for p in full], pa.list_(pa.binary()))],
+                    [pa.array([row["block"]] * len(full)), pa.array(full, pa.int32()), pa.array([pack(found[a:b], True) for a, b in spans], pa.binary()), pa.array([[pack(v[a:b]) for v in values] for a, b in spans], pa.list_(pa.binary()))],
                     names=["block", "part", "keys", "values"],
                 )
 

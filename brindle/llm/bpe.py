@@ -3,10 +3,12 @@
 Texts are split by the tokenizer's pattern, the distinct words of a batch become token-position rows, and a recursive
 query joins them with the merge table: in each step every word contracts its leftmost pair of least rank, until no
 word has a pair left. An ordered aggregation gathers the ids of each word and, over the same rows joined with the
-vocabulary, its decoded bytes. The ids and the decoded bytes of a document are those of its words, in order.
+vocabulary, its decoded bytes; another one, over the words of a document by their place, decodes the document.
 
-A word that is a token as a whole is looked up, as the library does. A word of over ``long_word`` bytes would take as
-many steps, each over all its positions, so it is contracted by the same rule with a priority queue instead.
+A word that is a token as a whole is looked up, as the library does. Words of over 64 bytes contract, in each step, all
+pairs of the least rank, from the left, so that steps follow the number of different ranks rather than the length. That
+is the same result: in a vocabulary that was trained by merges, a contraction makes no pair of a lower rank than its own
+(the pair's parts would have met before).
 Documents never move; a task holds one slice of texts, the distinct words of it and a bounded cache of words.
 """
 
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,17 +112,36 @@ FROM tokens JOIN vocabulary USING (t) WHERE NOT live GROUP BY w
 """
 
 
+_ENCODE_LONG = """
+WITH RECURSIVE tokens(k, w, t, live) AS (
+  SELECT k, w, t, true FROM start_rows
+  UNION ALL
+  SELECT k, w, CASE WHEN taken THEN best ELSE t END, best IS NOT NULL
+  FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY k) AS gone
+    FROM (SELECT k, w, t, best, coalesce(r = best, false) AND (place - coalesce(max(CASE WHEN r IS DISTINCT FROM best THEN place END) OVER (PARTITION BY w ORDER BY k ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 AS taken
+      FROM (SELECT s.*, m.merged AS r, min(m.merged) OVER (PARTITION BY s.w) AS best
+        FROM (SELECT k, w, t, lead(t) OVER (PARTITION BY w ORDER BY k) AS follows, row_number() OVER (PARTITION BY w ORDER BY k) AS place FROM tokens WHERE live) s
+        LEFT JOIN merges m ON m.pair = s.t * 4294967296 + s.follows)))
+  WHERE NOT gone
+)
+SELECT w, list(t ORDER BY k) AS ids, unhex(string_agg(octets, '' ORDER BY k)) AS decoded
+FROM tokens JOIN vocabulary USING (t) WHERE NOT live GROUP BY w
+"""
+
+#: Words are whole code points, so their decoded bytes are text again.
+_DECODE = "SELECT d, string_agg(decoded, '' ORDER BY i) AS decoded FROM places JOIN words USING (w) GROUP BY d"
+
+
 class Bpe:
     """Ranks, merge table and a bounded cache of encoded words, in one worker."""
 
-    cached_words = 300_000
+    cached_words, long_word = 300_000, 64
 
-    def __init__(self, path: str, long_word: int):
+    def __init__(self, path: str):
         import duckdb
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.long_word = long_word
         self.pieces = {r: t for t, r in self.ranks.items()}
         self.octets = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         left, right, merged = [], [], []
@@ -151,16 +171,13 @@ class Bpe:
             elif w in self.ranks:
                 r = self.ranks[w]
                 found[w] = r.to_bytes(4, "little"), self.pieces[r]
-            elif len(w) > self.long_word:
-                ids = self.contract(w)
-                found[w] = np.array(ids, "<u4").tobytes(), b"".join(self.pieces[i] for i in ids)
             else:
                 misses.append(w)
         misses.sort(key=len)
         at = 0
         while at < len(misses):  # as many words as have some 300,000 positions
             end, size = at, 0
-            while end < len(misses) and size < 300_000:
+            while end < len(misses) and size < 300_000 and (len(misses[end]) > self.long_word) == (len(misses[at]) > self.long_word):
                 size += len(misses[end])
                 end += 1
             part = misses[at:end]
@@ -179,7 +196,7 @@ class Bpe:
         # Positions are dense within a word and leave a gap before the next one.
         rows = pa.table({"k": np.arange(len(owner)) + owner, "w": owner, "t": self.octets[np.frombuffer(b"".join(words), np.uint8)]})
         self.db.register("start_rows", rows)
-        out = self.db.sql(_ENCODE).to_arrow_table().combine_chunks()
+        out = self.db.sql(_ENCODE_LONG if len(words[0]) > self.long_word else _ENCODE).to_arrow_table().combine_chunks()
         self.db.unregister("start_rows")
         order = np.argsort(out["w"].to_numpy())
         lists = out["ids"].combine_chunks() if isinstance(out["ids"], pa.ChunkedArray) else out["ids"]
@@ -187,34 +204,6 @@ class Bpe:
         decoded = out["decoded"].cast(pa.binary()).to_pylist()
         return [(flat[ends[i] : ends[i + 1]], decoded[i]) for i in order.tolist()]
 
-    def contract(self, word: bytes) -> list[int]:
-        """The same rule for one long word: leftmost pair of least rank first, by a queue and a linked list."""
-        n = len(word)
-        ids = self.octets[np.frombuffer(word, np.uint8)].tolist()
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts here: its end; the one before
-        queue: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = ends[i]
-            if j < n and (r := self.ranks.get(word[i : ends[j]])) is not None:
-                heapq.heappush(queue, (r, i, ends[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        gone = bytearray(n)
-        while queue:
-            r, i, end = heapq.heappop(queue)
-            if gone[i] or ends[i] >= n or ends[ends[i]] != end or ends[i] == end:
-                continue
-            gone[ends[i]] = 1
-            ids[i], ends[i] = r, end
-            if end < n:
-                before[end] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [ids[i] for i in range(n) if not gone[i]]
-
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """(ids, decoded bytes) of each text."""
         words, counts = split(texts)
@@ -222,31 +211,29 @@ class Bpe:
         known = self.words(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy()
 
-        def gather(parts: list[bytes], unit: int) -> tuple[bytes, np.ndarray]:
-            """Parts in the order of the words, and the offset of each word."""
-            flat = np.frombuffer(b"".join(parts), f"V{unit}") if unit > 1 else np.frombuffer(b"".join(parts), np.uint8)
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // unit
-            starts = np.cumsum(sizes) - sizes
-            each = sizes[at]
-            offsets = np.concatenate([[0], np.cumsum(each)])
-            index = np.arange(offsets[-1]) + np.repeat(starts[at] - offsets[:-1], each)
-            return flat[index].tobytes(), offsets * unit
-
         if not len(at):
             return [(np.zeros(0, "<u4"), b"") for _ in texts]
-        ids, id_at = gather([k[0] for k in known], 4)
-        octets, octet_at = gather([k[1] for k in known], 1)
+        flat = np.frombuffer(b"".join(k[0] for k in known), "<u4")
+        sizes = np.fromiter((len(k[0]) // 4 for k in known), np.int64, len(known))
+        each = sizes[at]
+        offsets = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.arange(offsets[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - offsets[:-1], each)]
+        self.db.register("places", pa.table({"d": np.repeat(np.arange(len(texts)), counts), "i": np.arange(len(at)), "w": at.astype(np.int64)}))
+        self.db.register("words", pa.table({"w": np.arange(len(known)), "decoded": pa.array([k[1] for k in known], pa.binary()).cast(pa.string())}))
+        told = self.db.sql(_DECODE).fetchall()
+        self.db.unregister("places"), self.db.unregister("words")
+        decoded = {d: x.encode() for d, x in told}
         bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
-        return [(np.frombuffer(ids[id_at[a] : id_at[b]], "<u4"), octets[octet_at[a] : octet_at[b]]) for a, b in zip(bounds, bounds[1:])]
+        return [(ids[offsets[a] : offsets[b]], decoded.get(d, b"")) for d, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
-_BPES: dict[tuple, Bpe] = {}
+_BPES: dict[str, Bpe] = {}
 
 
-def bpe(path: str, long_word: int) -> Bpe:
-    if (path, long_word) not in _BPES:
-        _BPES[path, long_word] = Bpe(path, long_word)
-    return _BPES[path, long_word]
+def bpe(path: str) -> Bpe:
+    if path not in _BPES:
+        _BPES[path] = Bpe(path)
+    return _BPES[path]
 
 
 RESULTS = {
@@ -259,7 +246,7 @@ RESULTS = {
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
-def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", results: tuple[str, ...] = ("n_tokens", "ids", "decoded"), slice_bytes: int = 4 << 20, long_word: int = 200, carry: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", results: tuple[str, ...] = ("n_tokens", "ids", "decoded"), slice_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
     """Token ids of each whole text and the text decoded from them.
 
     ``results`` names columns of RESULTS. ``ranks_path`` is a rank file that all executors can open (it is installed
@@ -272,7 +259,7 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     schema = T.StructType([f for f in df.schema if f.name != "text"] + [T.StructField(r, RESULTS[r][0]) for r in results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(ranks_path, long_word)
+        model = bpe(ranks_path)
         for batch in batches:
             at = batch.schema.names.index("text")
             sizes = np.diff(np.frombuffer(batch.column(at).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(at).offset :][: batch.num_rows + 1]) if batch.num_rows else []

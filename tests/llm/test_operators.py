@@ -221,12 +221,17 @@ def test_bpe_as_the_library(spark):
     pool = list("abst'''' \n\t  dmrevl LL..!?09é ß中ा́　\xa0 ½²Ⅷ🙂\x1c\x0b\x85_") + ["'s", "'re", "'ll", " '"] + [chr(c) for c in range(0x20, 0x2000, 37)]
     texts = ["", "'", "'s'll'd 'm x're", " a  b", "a \n\n b  ", "it's 'tis", "x'", "<|endoftext|>", "a" * 1000 + "b" * 500, "zq" * 700 + " " * 3000]
     texts += ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
-    model = bpe.bpe(path, 200)
+    model = bpe.bpe(path)
     for text, (ids, decoded) in zip(texts, model.encode(texts)):
         assert ids.tolist() == library.encode_ordinary(text) and decoded == text.encode()
-    # The queue and the recursive query follow one rule.
-    for word in (b"internationalisation", b"aaaaaaaaab", b"x" * 90, "größenordnung".encode()):
-        assert model.contract(word) == np.frombuffer(model._query([word])[0][0], "<u4").tolist()
+    # Words on both sides of the length where all pairs of the least rank contract in a step.
+    for n in (63, 64, 65, 66, 201, 999, 20_000):
+        for letters in ("ab", "aeinorst", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZé中"):
+            word = "".join(rnd.choice(letters) for _ in range(n))
+            ids, decoded = model._query([word.encode()])[0]
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(word) and decoded == word.encode()
+    (ids, decoded), = model._query([b"=" * 100_000])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary("=" * 100_000) and decoded == b"=" * 100_000
 
 
 def test_bpe_edges(spark, sf_dir):
