@@ -44,10 +44,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame, name: str, options: dict | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors.
+
+    The shuffles behind it aren't needed any more. Spark deletes them when the driver's JVM finds them unreferenced, so
+    it is asked to look; otherwise they would fill the disks until it happens to.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**(options or {})).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
