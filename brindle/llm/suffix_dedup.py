@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import cut
+from .common import cut, release
 
 _GRAM = 8
 #: Answer to a key that no two documents share.
@@ -391,6 +391,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.list_(pa.binary())))], names=["block", "part", "kind", "data"])
 
     runs, _ = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(runs_of, _RUNS), "suffix-runs")
+    del answers
+    release(docs.sparkSession)
 
     def shard_of(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
