@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,23 +47,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame, name: str, options: dict | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors.
+
+    The shuffles behind it go when the write is done, since nothing reads them again; the session's setting is put back.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**(options or {})).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffles behind tables that have been written.
-
-    Spark deletes them when the driver's JVM finds them unreferenced, so it is asked to look; otherwise they would fill
-    the disks until it happens to.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def carried(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """(doc_id, text) or (doc, doc_id, text): with ``carry`` all input columns travel as one struct."""
     cols = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
