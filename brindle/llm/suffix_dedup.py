@@ -194,26 +194,22 @@ def _induce_list(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -
     o, within, found = _grouped(t[lms], size)
     filled[(ends - found)[t[lms[o]]] + within] = lms[o]
     sa, symbols = filled.tolist(), t.tolist()
-    larger, smaller, heads = larger.tolist(), smaller.tolist(), (ends - counts).tolist()
+    # Empty places hold -1, for which the lists' last elements say that nothing stands before.
+    larger, smaller, heads = [*larger.tolist(), n], [*smaller.tolist(), n], (ends - counts).tolist()
     for i in sa:
-        if i >= 0:
-            j = larger[i]
-            if j < n:
-                c = symbols[j]
-                h = heads[c]
-                sa[h] = j
-                heads[c] = h + 1
+        j = larger[i]
+        if j < n:
+            c = symbols[j]
+            h = heads[c]
+            sa[h] = j
+            heads[c] = h + 1
     tails = ends.tolist()
-    k = n
-    while k:
-        k -= 1
-        i = sa[k]
-        if i >= 0:
-            j = smaller[i]
-            if j < n:
-                c = symbols[j]
-                tails[c] = h = tails[c] - 1
-                sa[h] = j
+    for k in range(n - 1, -1, -1):
+        j = smaller[sa[k]]
+        if j < n:
+            c = symbols[j]
+            tails[c] = h = tails[c] - 1
+            sa[h] = j
     return np.array(sa[:n], np.int64)
 
 
@@ -340,7 +336,7 @@ def _combine(order: np.ndarray, starts: np.ndarray, values: list[np.ndarray]) ->
 _RUNS = "block string, part int, kind int, data array<binary>"
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 4 << 20, shard_bytes: int = 128 << 10, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = 4 << 20, shard_bytes: int = 192 << 10, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that stay, for each row.
 
     A byte goes if a string of ``width`` bytes (_GRAM at least) that covers it, in this document's text, also starts in
