@@ -29,30 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, connected_components, cut
+from .common import bit_filter, carried, connected_components, cut, heavy_keys, passing
 
 _BITS, _HALF, _LOW = 64, 32, (1 << 32) - 1
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """Signed 64-bit fingerprint: bit b is set if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included."""
     from xxhash import xxh64_intdigest as digest
 
     words = text.lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, len(last))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: bit b is set if it is set in over half of the hashes; 0 without any."""
     total = np.zeros(_BITS, np.int64)
-    for at in range(0, n, 65536):
-        first, stop = starts[at : min(at + 65536, n)].tolist(), last[at : min(at + 65536, n)].tolist()
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(first, stop)], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
+
+
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    return print_of(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, carry: bool = False) -> DataFrame:
@@ -75,45 +81,38 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted; those that ``fingerprint`` counts."""
-    from xxhash import xxh64_intdigest as digest
-
-    words = text.lower().split()
-    found = {digest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+    return np.unique(shingle_hashes(text, shingle, seed).view(np.int64))
 
 
 def _prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _sets(docs: DataFrame, text_col: str, shingle: int, seed: int, percent: int | None) -> DataFrame:
-    """(fp, sid, n, hashes) of texts with words: sid names the set of shingles, n is its size.
+def _sets(docs: DataFrame, shingle: int, seed: int, percent: int | None) -> DataFrame:
+    """(..., fp, sid, n, hashes) for each row of docs, whose last column is text: sid names the set of shingles, n is its size.
 
-    hashes is the prefix for ``percent``; without that it is the whole set, and fp is null. Repeats close to each other are dropped.
+    hashes is the prefix for ``percent``; without that it is the whole set.
     """
     from xxhash import xxh64_intdigest as digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             prints, ids, sizes, rows = [], [], [], []
-            for x in batch.column(0).cast(pa.binary()):
-                text = x.as_py() or b""
-                hashes = shingle_set(text, shingle, seed)
-                if not len(hashes):
-                    continue
-                row = (None if percent is None else fingerprint(text, shingle, seed), digest(hashes.tobytes(), seed))
-                if row in seen:
-                    continue
-                if len(seen) >= 1 << 16:
-                    seen.clear()
-                seen.add(row)
-                prints.append(row[0]), ids.append(row[1]), sizes.append(len(hashes))
-                rows.append(hashes if percent is None else hashes[: _prefix(len(hashes), percent)])
+            for x in batch.column(batch.num_columns - 1).cast(pa.binary()):
+                every = shingle_hashes(x.as_py() or b"", shingle, seed)
+                hashes = np.unique(every.view(np.int64))
+                prints.append(print_of(every)), ids.append(digest(hashes.tobytes(), seed)), sizes.append(len(hashes))
+                rows.append(hashes if percent is None or not len(hashes) else hashes[: _prefix(len(hashes), percent)])
             sids = pa.array(np.array(ids, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), sids, pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["fp", "sid", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64()), sids, pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp", "sid", "n", "hashes"])
+
+    schema = T.StructType([*docs.schema.fields[:-1], *[T.StructField(n, t) for n, t in (("fp", T.LongType()), ("sid", T.LongType()), ("n", T.IntegerType()), ("hashes", T.ArrayType(T.LongType())))]])
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp bigint, sid bigint, n int, hashes array<bigint>")
+
+def text_hash(text) -> list:
+    """128 bits that tell texts apart, as two columns."""
+    return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("g")]
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,18 +122,33 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, F.size(F.array_intersect("_a", "_b")).alias("o"), "na", "nb")
 
 
-def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed: int = 42, percent: int = 80, bucket: int = 32, rounds: int = 8) -> DataFrame:
+def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed: int = 42, percent: int = 80, bucket: int = 32, rounds: int = 8, prefixes: DataFrame | None = None) -> DataFrame:
     """(a, b), b < a: fingerprints of texts whose shingle sets have a Jaccard similarity of at least ``percent``, enough to keep every connection.
 
     Results mean the same for any ``bucket`` and ``rounds``: what the pivots leave in a large bucket is compared in pairs.
+    ``prefixes`` is what a pass over the texts has found already (h, fp, sid, n and hashes of each, of ``_sets``).
     """
-    prefixes, _ = cut(_sets(docs, text_col, shingle, seed, percent), "shingle-prefixes")
-    # A key's place tells how many shingles can still be shared after it.
-    index = prefixes.select("sid", "n", F.posexplode("hashes").alias("at", "key"))
-    shared = index.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
-    members, _ = cut(index.join(shared, "key").select("key", "sid", "n", "at").distinct(), "shingle-shared")
-    wanted = members.select("sid").distinct()
-    whole = _sets(docs, text_col, shingle, seed, None).join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    texts = docs.select(*text_hash(F.col(text_col).cast("string")), F.col(text_col).cast("string").alias("text"))
+    if prefixes is None:
+        prefixes, _ = cut(_sets(texts, shingle, seed, percent), "shingle-prefixes")
+    prefixes = prefixes.where("n > 0")
+    # Each set once, through one of its texts. A key's place tells how many shingles can still be shared after it.
+    once = prefixes.groupBy("sid").agg(F.min(F.struct("h", "g")).alias("of"))
+    once, _ = cut(once, "shingle-sets-once")
+    first = prefixes.join(once.select("sid", "of.h", "of.g"), ["sid", "h", "g"]).dropDuplicates(["sid"])
+    first, _ = cut(first.select("sid", "n", "hashes"), "shingle-first")
+    index = first.select("sid", "n", F.posexplode("hashes").alias("at", "key"))
+    hot, _ = cut(heavy_keys(first.sample(1 / 64, seed=1).select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count("*").alias("n")), 1000).where("n > 32"), "shingle-hot")
+    dealt = index.join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
+    dealt = dealt.select("key", "sid", "n", "at", F.when(F.col("hot"), F.pmod("sid", F.lit(64))).otherwise(-1).cast("byte").alias("deal"))
+    dealt = dealt.repartition("key", "deal")  # the one shuffle of the index; both uses below read it
+    shared = dealt.groupBy("key", "deal").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("deal >= 0 OR low < high").select("key", "deal")
+    members, _ = cut(dealt.join(shared, ["key", "deal"]).select("key", "sid", "n", "at"), "shingle-shared")
+    wanted = members.select("sid").distinct().join(once, "sid").select("sid", "of.h", "of.g")
+    wanted, _ = cut(wanted, "shingle-wanted")
+    # Only texts of such sets are taken apart again.
+    again = passing(texts, bit_filter(wanted.select(F.col("h").alias("no"))), F.col("h"))
+    whole = _sets(again, shingle, seed, None).join(wanted, ["sid", "h", "g"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "hashes")
     sets, _ = cut(whole, "shingle-sets")
     near = F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))
     distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
@@ -260,20 +274,52 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other; a component of null ids alone has a null component_id. Rows of one id are rows of their own. Extra columns
     stay inside doc (with ``carry``) or are left out. An empty table gives none.
     """
-    options = {"id_col": id_col, "text_col": text_col, "shingle": shingle, "seed": seed}
-    prints, _ = cut(fingerprints(docs, **options), "simhash-prints")
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), *text_hash(text), text.alias("text"))
+    if percent is None:
+        prints = fingerprints(narrow, shingle=shingle, seed=seed)
+        prints, _ = cut(prints, "simhash-prints")
+    else:
+        prints, _ = cut(_sets(narrow, shingle, seed, percent), "simhash-prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first, _ = cut(first, "simhash-distinct")
     edges = links(first.select("fp"), max_bits=max_bits, bucket=bucket)
     if percent is not None:
-        edges = edges.unionByName(similar(docs, text_col=text_col, shingle=shingle, seed=seed, percent=percent, bucket=bucket))
+        edges = edges.unionByName(similar(docs, text_col=text_col, shingle=shingle, seed=seed, percent=percent, bucket=bucket, prefixes=prints))
     nodes = connected_components(edges, "simhash")
     groups = first.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(lowest, "component").select("fp", "component", "component_id")
+    if not carry:
+        return prints.join(named, "fp").select("doc_id", "fp", "component", "component_id", *(["h", "g"] if percent is not None else []))
     # With whole rows, fingerprints are computed again rather than written with the rows.
-    rows = fingerprints(docs, **options, carry=True) if carry else prints
-    return rows.join(named, "fp").select(*(["doc"] if carry else []), "doc_id", "fp", "component", "component_id")
+    rows = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, carry=True)
+    return rows.join(named, "fp").select("doc", "doc_id", "fp", "component", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, of which each component of near duplicates keeps one.
+
+    That is the row of the smallest id (null ids last), of rows of one id that whose text has the smallest hash, and one
+    of rows that are equal in both. Options are those of ``near_duplicates``. Rows that are alone stay where they are;
+    only the others are shuffled.
+    """
+    found, _ = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent, **options), "simhash-found")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "g")
+    best = found.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best, _ = cut(best.select("component", "best"), "simhash-best")
+    several = found.join(best.select("component"), "component", "left_semi")
+    rows = docs.withColumns({"_h": text_hash(F.col(text_col).cast("string"))[0], "_g": text_hash(F.col(text_col).cast("string"))[1]})
+    key = lambda i, h: F.xxhash64(i, h)
+    filled = bit_filter(several.select(key("doc_id", "h").alias("no")))
+    # Of rows that share an id and a text all belong to one component; the first of them stays.
+    chosen = best.select(F.col("best.doc_id").alias("_i"), F.col("best.h").alias("_bh"), F.col("best.g").alias("_bg"), F.lit(True).alias("_stays")).dropDuplicates(["_i", "_bh", "_bg"])
+    known = several.select(F.col("doc_id").alias("_i"), F.col("h").alias("_bh"), F.col("g").alias("_bg")).distinct().join(chosen.withColumnsRenamed({"_i": "_ci", "_bh": "_ch", "_bg": "_cg"}), F.expr("_i <=> _ci AND _bh = _ch AND _bg = _cg"), "left").select("_i", "_bh", "_bg", F.coalesce("_stays", F.lit(False)).alias("_stays"))
+    at = key(id_col, "_h")
+    touched = passing(rows, filled, at).join(known, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_bh")) & (F.col("_g") == F.col("_bg")), "left")
+    # What the filter lets through in vain is in no component of several rows, so no other row equals it.
+    kept = touched.where(F.coalesce("_stays", F.lit(True))).dropDuplicates([id_col, "_h", "_g"])
+    return passing(rows, filled, at, inside=False).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,13 +26,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates one document: that with the smallest id (any one, if rows share it).
+    """Of each component of near duplicates one document: that with the smallest id (see ``simhash.deduplicate`` for ties).
 
     Near duplicates are texts within two bits of each other, or with 80 in 100 of their five-word shingles in common.
     """
-    out = simhash.near_duplicates(docs, percent=80, carry=True)
-    kept = out.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates(["component"]).select("doc.*")
+    return simhash.deduplicate(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

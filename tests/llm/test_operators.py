@@ -102,6 +102,16 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark), carry=True).select("doc.*").columns == docs(spark).columns
 
 
+def test_deduplicate_edges(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [*EDGES, (8, long), (9, long + " w1"), (None, long), (10, long.replace("w7 ", "")), (11, "other " + " ".join(f"v{i}" for i in range(60))), (8, long)]
+    kept = simhash.deduplicate(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    got = sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect())
+    assert got == [(1, ""), (4, "same text"), (5, "a"), (6, LONG[:9]), (7, EDGES[-1][1][:9]), (8, long[:9]), (11, "other v0 ")]
+    assert simhash.deduplicate(docs(spark, [])).count() == 0
+
+
 def plain_jaccard(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
