@@ -131,7 +131,7 @@ def test_similar_by_brute_force(spark, bucket):
     # Pairs that are too far apart in bits, so that links() alone leaves them.
     assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in near) > 20
     want = components(range(len(texts)), [*near, *((a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2)])
-    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), percent=80, bucket=bucket).collect()
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), percent=80, set_bucket=bucket).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 4
 
 
