@@ -15,7 +15,7 @@ fingerprint, so copies are never expanded into pairs.
 
 Texts of a high shingle similarity can be many bits apart, so ``similarity`` adds links by the shingles themselves
 (``similar``). Sets whose Jaccard similarity is at least t share one of their first n - ceil(t n) + 1
-shingles in order of hashes: an equality join over these finds every such pair, and whole sets verify it. Buckets of over 3 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
+shingles in order of hashes: an equality join over these finds every such pair, and whole sets verify it. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
 t of the pivot, which are linked to it, only those are compared with others that are at most d + 1 - t away from it.
 """
 
@@ -263,7 +263,7 @@ def _or(cols: list):
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 2, seed: int = 42, bucket: int = 32, percent: int | None = None, set_bucket: int = 3, carry: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 2, seed: int = 42, bucket: int = 32, percent: int | None = None, set_bucket: int = 32, carry: bool = False) -> DataFrame:
     """doc_id, fp, component, component_id for each row.
 
     Rows are linked within ``max_bits``, and with ``percent`` also from that Jaccard similarity of shingles on.
