@@ -74,15 +74,14 @@ def query(sketch: DataFrame, probes: DataFrame, keys: list[str], col: str, confi
 def fold_conservative(df: DataFrame, key: str, col: str, order_by: str, weight: str | None = None, config: Config = Config()) -> DataFrame:
     """key, item, estimate, total: the sketch after the conservative update with each row in order.
 
-    The update depends on the order, so a key's rows are one sequence; rows that follow one another with the same item
-    count as one. The fold keeps the matrix, not the rows: they stream through in sorted batches.
+    The update depends on the order, so a key's rows are one sequence, in one task. The fold keeps the matrix and a
+    place for each item, not the rows: they stream through in sorted batches. Cells are those of ``build``.
     """
     import numpy as np
     import pandas as pd
-    import xxhash
 
     n = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    rows = df.where(F.col(col).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(col).cast("string").alias("item"), F.col(order_by).alias("seq"), n.alias("n"))
+    rows = df.where(F.col(col).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(col).cast("string").alias("item"), F.col(order_by).alias("seq"), n.alias("n"), F.transform(cells_of(hashing.default(F.col(col)), config), lambda c: c["col"]).alias("at"))
     width, depth = config.width, config.depth
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,15 +93,13 @@ def fold_conservative(df: DataFrame, key: str, col: str, order_by: str, weight:
 
         rows_ = np.arange(depth)
         for batch in batches:
-            for k, item, d in zip(batch["key"], batch["item"], batch["n"]):
+            for k, item, d, cols in zip(batch["key"], batch["item"], batch["n"], batch["at"]):
                 if k != now or cells is None:
                     if cells is not None:
                         yield out()
                     now, cells, total, places = k, np.zeros((depth, width), np.int64), 0, {}
                 if item not in places:
-                    h = xxhash.xxh64_intdigest(item)
-                    g = xxhash.xxh64_intdigest(h.to_bytes(8, "little"))
-                    places[item] = np.array([((h + r * g) & hashing.MASK64) % width for r in range(depth)])
+                    places[item] = np.asarray(cols, np.int64)
                 at = places[item]
                 target = min(int(cells[rows_, at].min()) + int(d), MAX_CELL)
                 if d and (cells[rows_, at] < target).any():
@@ -112,4 +109,4 @@ def fold_conservative(df: DataFrame, key: str, col: str, order_by: str, weight:
             yield out()
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "seq")
-    return ordered.select("key", "item", "n").mapInPandas(run, "key string, item string, estimate bigint, total bigint")
+    return ordered.select("key", "item", "n", "at").mapInPandas(run, "key string, item string, estimate bigint, total bigint")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 INT64_MIN, INT64_MAX = -(1 << 63), (1 << 63) - 1
 OVERFLOW, NOT_INTEGER = "ERR increment or decrement would overflow", "ERR value is not an integer or out of range"
 #: What counts as an integer: an optional sign and decimal digits.
-INTEGER = r"^[+-]?[0-9]+$"
+INTEGER = "[+-]?[0-9]+"
 
 
 def set_last(ops: DataFrame, key: str = "key", seq: str = "seq", value: str = "value") -> DataFrame:
@@ -44,7 +44,7 @@ def running_value(ops: DataFrame) -> DataFrame:
     rows = rows.withColumn("_start", start).withColumn("_number", F.when(F.col("_start").isNull(), F.lit(0)).otherwise(F.expr(f"try_cast(_start AS {wide})")))
     rows = rows.withColumn("_total", F.coalesce("_number", F.lit(0)).cast(wide) + F.coalesce(F.sum(F.col("delta").cast(wide)).over(inside), F.lit(0).cast(wide)))
     out_of_range = ~F.col("_total").between(F.lit(INT64_MIN).cast(wide), F.lit(INT64_MAX).cast(wide))
-    bad_start = F.col("_start").isNotNull() & (~F.col("_start").rlike(INTEGER) | F.col("_number").isNull() | ~F.col("_number").between(F.lit(INT64_MIN).cast(wide), F.lit(INT64_MAX).cast(wide)))
+    bad_start = F.col("_start").isNotNull() & (~F.col("_start").rlike(rf"\A{INTEGER}\z") | F.col("_number").isNull() | ~F.col("_number").between(F.lit(INT64_MIN).cast(wide), F.lit(INT64_MAX).cast(wide)))
     rows = rows.withColumn("_odd", ~reset & (bad_start | out_of_range))
     # Once a command of a segment fails, the sums after it are wrong: such segments are folded.
     whole = Window.partitionBy("key", "_seg")
@@ -66,7 +66,7 @@ def _fold(rows: DataFrame) -> DataFrame:
             for key, seg, op, start, delta in zip(batch["key"], batch["_seg"], batch["op"], batch["start"], batch["delta"]):
                 if (key, seg) != now:
                     now = (key, seg)
-                    total = 0 if start is None else int(start) if re.match(INTEGER, start) and INT64_MIN <= int(start) <= INT64_MAX else None
+                    total = 0 if start is None else int(start) if re.fullmatch(INTEGER, start) and INT64_MIN <= int(start) <= INT64_MAX else None
                 if op in ("SET", "DEL"):
                     result.append(None), error.append(None)
                 elif total is None:

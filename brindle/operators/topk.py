@@ -115,6 +115,7 @@ def heavy_keeper(df: DataFrame, key: str, col: str, order_by: str, config: Confi
 
     A bucket holds an item's fingerprint and a count. A hit counts up; another item's bucket counts down with
     probability decay^count, and is taken at zero. An item enters the list with its largest count over the rows.
+    A key's rows stream through one task, which keeps the buckets and the list.
     """
     import numpy as np
     import pandas as pd
@@ -124,57 +125,57 @@ def heavy_keeper(df: DataFrame, key: str, col: str, order_by: str, config: Confi
     rows = df.where(F.col(col).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order_by).alias("seq"), F.col(col).cast("string").alias("item"), n.alias("n"))
     c = config
 
-    def fold(items, weights):
-        rng = np.random.default_rng(seed)
-        prints, counts = np.zeros((c.depth, c.width), np.uint64), np.zeros((c.depth, c.width), np.int64)
-        held: dict = {}
-        for item, w in zip(items, weights):
-            h = xxhash.xxh64_intdigest(item)
-            best = 0
-            for r in range(c.depth):
-                at = (h + r * xxhash.xxh64_intdigest(h.to_bytes(8, "little"))) % (1 << 64) % c.width
-                left = int(w)
-                if counts[r, at] and prints[r, at] != h:
-                    while left and counts[r, at]:
-                        # Draws until the count falls: geometric, and no more than the weight.
-                        p = c.decay ** int(counts[r, at])
-                        draws = int(rng.geometric(p)) if p > 1e-12 else left + 1
-                        if draws > left:
-                            left = 0
-                        else:
-                            left -= draws
-                            counts[r, at] -= 1
-                    if not counts[r, at] and (left or w):
-                        prints[r, at], counts[r, at] = h, max(left, 1)
-                elif left:
-                    prints[r, at] = h
-                    counts[r, at] += left
-                if counts[r, at] and prints[r, at] == h:
-                    best = max(best, int(counts[r, at]))
-            if not w or not best:
-                continue
-            if item in held:
-                held[item] = max(held[item], best)
-            elif len(held) < c.k:
+    def fresh():
+        return np.random.default_rng(seed), np.zeros((c.depth, c.width), np.uint64), np.zeros((c.depth, c.width), np.int64), {}
+
+    def add(state, item, w):
+        rng, prints, counts, held = state
+        h = xxhash.xxh64_intdigest(item)
+        step = xxhash.xxh64_intdigest(h.to_bytes(8, "little"))
+        best = 0
+        for r in range(c.depth):
+            at = (h + r * step) % (1 << 64) % c.width
+            left = w
+            if counts[r, at] and prints[r, at] != h:
+                while left and counts[r, at]:
+                    # Draws until the count falls: geometric, and no more than the weight.
+                    p = c.decay ** int(counts[r, at])
+                    draws = int(rng.geometric(p)) if p > 1e-12 else left + 1
+                    if draws > left:
+                        left = 0
+                    else:
+                        left -= draws
+                        counts[r, at] -= 1
+                if not counts[r, at] and (left or w):
+                    prints[r, at], counts[r, at] = h, max(left, 1)
+            elif left:
+                prints[r, at] = h
+                counts[r, at] += left
+            if counts[r, at] and prints[r, at] == h:
+                best = max(best, int(counts[r, at]))
+        if not w or not best:
+            return
+        if item in held:
+            held[item] = max(held[item], best)
+        elif len(held) < c.k:
+            held[item] = best
+        else:
+            least = min(held, key=lambda x: (held[x], x))
+            if best > held[least]:
+                del held[least]
                 held[item] = best
-            else:
-                least = min(held, key=lambda x: (held[x], x))
-                if best > held[least]:
-                    del held[least]
-                    held[item] = best
-        return held
 
     def run(batches):
-        now, items, weights = None, [], []
-        done = lambda: pd.DataFrame([(now, i, n) for i, n in fold(items, weights).items()], columns=["key", "item", "cnt"])
+        now, state = None, None
+        done = lambda: pd.DataFrame([(now, i, n) for i, n in state[3].items()], columns=["key", "item", "cnt"])
         for batch in batches:
             for key_, item, w in zip(batch["key"], batch["item"], batch["n"]):
-                if key_ != now and items:
-                    yield done()
-                    items, weights = [], []
-                now = key_
-                items.append(item), weights.append(w)
-        if items:
+                if state is None or key_ != now:
+                    if state is not None:
+                        yield done()
+                    now, state = key_, fresh()
+                add(state, item, int(w))
+        if state is not None:
             yield done()
 
     return rows.repartition("key").sortWithinPartitions("key", "seq").select("key", "item", "n").mapInPandas(run, "key string, item string, cnt bigint")

@@ -27,14 +27,16 @@ def live(state: DataFrame, now: int) -> DataFrame:
 
 
 def expire(state: DataFrame, requests: DataFrame, now: int, *, absolute: bool = False, mode: str = "always") -> tuple[DataFrame, DataFrame]:
-    """EXPIRE, EXPIREAT and their NX and XX forms, one request (key, ms) for a key: (new state, replies).
+    """EXPIRE, EXPIREAT and their NX and XX forms, one request (key, ms) for a key, else an error: (new state, replies).
 
     ``mode`` is always, nx (only keys without an expiry) or xx (only keys with one). Replies have key, reply (1 or 0),
     error. A time that isn't after now deletes the key and replies 1; now + ms beyond 64 bits is an error.
     """
     wide = "decimal(38,0)"
     at = F.col("ms").cast(wide) + (0 if absolute else now)
-    asked = requests.select("key", at.alias("_at"))
+    # One request for a key: with two, which comes first is not known here (``apply`` takes commands in order).
+    once = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("several requests for key "), F.col("key"))).cast(wide)).otherwise(F.max(at))
+    asked = requests.groupBy("key").agg(once.alias("_at"))
     joined = live(state, now).join(asked, "key", "left")
     has = F.col("expires_at_ms").isNotNull() & (F.col("expires_at_ms") > 0)
     allowed = {"always": F.lit(True), "nx": ~has, "xx": has}[mode]

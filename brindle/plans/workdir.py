@@ -12,6 +12,8 @@ def fresh(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder that is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"

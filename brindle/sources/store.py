@@ -89,7 +89,7 @@ def _fold(state: DataFrame, log: DataFrame) -> DataFrame:
         import re
 
         now, entry = None, None  # entry: (type, value, expiry) of a key that is there
-        number = lambda x: int(x) if x is not None and re.fullmatch(counters.INTEGER[1:-1], x) and counters.INT64_MIN <= int(x) <= counters.INT64_MAX else None
+        number = lambda x: int(x) if x is not None and re.fullmatch(counters.INTEGER, x) and counters.INT64_MIN <= int(x) <= counters.INT64_MAX else None
         for batch in batches:
             done: list = []
             for key, ts, op, kind, value, arg in zip(batch["key"], batch["ts_ms"], batch["op"], batch["type"], batch["value"], batch["arg"]):

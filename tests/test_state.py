@@ -1,5 +1,6 @@
 """Counters, expiry, logs, store and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import counters, ttl
@@ -147,3 +148,16 @@ def test_windows_drop_late_rows(spark, tmp_path):
     go()
     got = {(r.start, r.n) for r in spark.read.parquet(out).select(F.col("start").cast("string"), "n").collect()}
     assert ("2024-01-01 00:00:00", 1) in got and ("2024-01-01 00:00:00", 2) not in got
+
+
+def test_integer_without_line_feed(spark):
+    ops = spark.createDataFrame([("a", 1, "SET", "5\n", None), ("a", 2, "INCRBY", None, 1), ("b", 1, "SET", "5", None), ("b", 2, "INCRBY", None, 1)], "key string, seq bigint, op string, value string, delta bigint")
+    got = {(r.key, r.seq): (r.result, r.error) for r in counters.running_value(ops).collect()}
+    assert got[("a", 2)] == (None, counters.NOT_INTEGER) and got[("b", 2)] == (6, None)
+
+
+def test_one_request_for_a_key(spark):
+    state = spark.createDataFrame([("a", "v", None)], "key string, value string, expires_at_ms bigint")
+    asked = spark.createDataFrame([("a", 5), ("a", 7)], "key string, ms bigint")
+    with pytest.raises(Exception, match="several requests for key a"):
+        ttl.expire(state, asked, 0)[0].collect()
