@@ -116,9 +116,15 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
+            size = 0
             for i in range(batch.num_rows):
                 # The text writer adds the last line feed.
-                out += [x[:-1] for x in records_of(*(c[i].as_py() for c in batch.columns), segment_bytes, chunk_bytes)]
+                new = [x[:-1] for x in records_of(*(c[i].as_py() for c in batch.columns), segment_bytes, chunk_bytes)]
+                out += new
+                size += sum(map(len, new))
+                if size > 2 << 20:  # some megabytes at a time, not the records of a whole batch
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = whole.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
