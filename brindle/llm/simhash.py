@@ -15,7 +15,8 @@ fingerprint, so copies are never expanded into pairs.
 
 Texts of a high shingle similarity can be many bits apart, so ``similarity`` adds links by the shingles themselves
 (``similar``). Sets whose Jaccard similarity is at least t share one of their first n - ceil(t n) + 1
-shingles in order of hashes: an equality join over these finds every such pair, and whole sets verify it. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
+shingles in order of hashes: an equality join over these finds every such pair. Parity sketches of fixed size, which bound the similarity from above, rule
+most of the others out, and whole sets verify what is left. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
 t of the pivot, which are linked to it, only those are compared with others that are at most d + 1 - t away from it.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_filter, carried, connected_components, cut, heavy_keys, passing
+from .common import bit_filter, carried, connected_components, cut, heavy_keys, passing, remove_path
 
 _BITS, _HALF, _LOW = 64, 32, (1 << 32) - 1
 
@@ -88,26 +89,39 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+#: Words of 64 bits in a parity sketch.
+_WORDS = 16
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit b is set if an odd number of the hashes fall on b: two sketches differ in at most as many bits as the sets in members."""
+    odd = np.bincount(hashes & (64 * _WORDS - 1), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(docs: DataFrame, shingle: int, seed: int, percent: int | None) -> DataFrame:
-    """(..., fp, sid, n, hashes) for each row of docs, whose last column is text: sid names the set of shingles, n is its size.
+    """(..., fp, sid, n, sketch, hashes) for each row of docs, whose last column is text: sid names the set of shingles, n is its size.
 
     hashes is the prefix for ``percent``; without that it is the whole set.
     """
     from xxhash import xxh64_intdigest as digest
 
+    added = [("fp", T.LongType(), pa.int64()), ("sid", T.LongType(), pa.int64()), ("n", T.IntegerType(), pa.int32())]
+    added += [(name, T.ArrayType(T.LongType()), pa.list_(pa.int64())) for name in ("sketch", "hashes")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, ids, sizes, rows = [], [], [], []
+            rows = []
             for x in batch.column(batch.num_columns - 1).cast(pa.binary()):
                 every = shingle_hashes(x.as_py() or b"", shingle, seed)
                 hashes = np.unique(every.view(np.int64))
-                prints.append(print_of(every)), ids.append(digest(hashes.tobytes(), seed)), sizes.append(len(hashes))
-                rows.append(hashes if percent is None or not len(hashes) else hashes[: _prefix(len(hashes), percent)])
-            sids = pa.array(np.array(ids, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64()), sids, pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp", "sid", "n", "hashes"])
+                sid = np.uint64(digest(hashes.tobytes(), seed)).view(np.int64)
+                sent = hashes if percent is None or not len(hashes) else hashes[: _prefix(len(hashes), percent)]
+                rows.append((print_of(every), sid, len(hashes), parity(hashes), sent))
+            found = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], *(name for name, _, _ in added)])
 
-    schema = T.StructType([*docs.schema.fields[:-1], *[T.StructField(n, t) for n, t in (("fp", T.LongType()), ("sid", T.LongType()), ("n", T.IntegerType()), ("hashes", T.ArrayType(T.LongType())))]])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *[T.StructField(name, kind) for name, kind, _ in added]]))
 
 
 def text_hash(text) -> list:
@@ -115,11 +129,43 @@ def text_hash(text) -> list:
     return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("g")]
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with o, the shingles in common, and na and nb, the sizes."""
-    of = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select(*pairs.columns, F.size(F.array_intersect("_a", "_b")).alias("o"), "na", "nb")
+def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b, ...) with na, nb, _a and _b: the size and ``column`` of each of the two sets.
+
+    The few sets b that very many pairs share, pivots mostly, are dealt to 64 tasks each.
+    """
+    hot, _ = cut(heavy_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), 1000).where("n > 1000").select("b", F.lit(64).alias("ways")), "shingle-hubs")
+    of = lambda c: side.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"_{c}"))
+    ways = lambda df: df.join(F.broadcast(hot), "b", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    dealt = ways(pairs.join(of("a"), "a")).withColumn("way", F.pmod("a", "ways").cast("int")).drop("ways")
+    copies = ways(of("b")).withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+    return dealt.join(copies, ["b", "way"]).drop("way")
+
+
+def _least(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with d, at most their distance, and maybe: whether that leaves a similarity of ``percent`` open.
+
+    Sets differ in at least as many members as their sketches in bits, so the sizes bound what both share.
+    """
+    both = _both(pairs, sketches, "sketch")
+    bits = sum((F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_b")[i])) for i in range(_WORDS)), F.lit(0))
+    twice, size = F.col("twice"), F.col("na") + F.col("nb")
+    both = both.withColumn("twice", F.least(size - bits, 2 * F.least("na", "nb")))
+    return both.select(*pairs.columns, (1 - twice / (2 * size - twice)).alias("d"), (twice * 100 >= percent * (2 * size - twice)).alias("maybe"))
+
+
+def _exact(pairs: DataFrame, texts: DataFrame, once: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """``pairs`` with near and d, by their whole sets; only texts of these pairs are taken apart again."""
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().join(once.withColumnRenamed("sid", "a"), "a")
+    wanted, _ = cut(wanted.select(F.col("a").alias("sid"), "of.h", "of.g"), "shingle-wanted")
+    again = passing(texts, bit_filter(wanted.select(F.col("h").alias("no"))), F.col("h"))
+    whole = _sets(again, shingle, seed, None).join(wanted, ["sid", "h", "g"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "hashes")
+    sets, path = cut(whole, "shingle-sets")
+    both = _both(pairs, sets, "hashes").withColumn("o", F.size(F.array_intersect("_a", "_b")))
+    union = F.col("na") + F.col("nb") - F.col("o")
+    out, _ = cut(both.select(*pairs.columns, (F.col("o") * 100 >= percent * union).alias("near"), (1 - F.col("o") / union).alias("d")), "shingle-exact")
+    remove_path(pairs.sparkSession, path)
+    return out
 
 
 def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed: int = 42, percent: int = 80, bucket: int = 32, rounds: int = 8, prefixes: DataFrame | None = None) -> DataFrame:
@@ -136,7 +182,8 @@ def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed:
     once = prefixes.groupBy("sid").agg(F.min(F.struct("h", "g")).alias("of"))
     once, _ = cut(once, "shingle-sets-once")
     first = prefixes.join(once.select("sid", "of.h", "of.g"), ["sid", "h", "g"]).dropDuplicates(["sid"])
-    first, _ = cut(first.select("sid", "n", "hashes"), "shingle-first")
+    first, _ = cut(first.select("sid", "n", "sketch", "hashes"), "shingle-first")
+    sketches = first.select("sid", "n", "sketch")
     index = first.select("sid", "n", F.posexplode("hashes").alias("at", "key"))
     hot, _ = cut(heavy_keys(first.sample(1 / 64, seed=1).select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count("*").alias("n")), 1000).where("n > 32"), "shingle-hot")
     dealt = index.join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
@@ -144,14 +191,6 @@ def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed:
     dealt = dealt.repartition("key", "deal")  # the one shuffle of the index; both uses below read it
     shared = dealt.groupBy("key", "deal").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("deal >= 0 OR low < high").select("key", "deal")
     members, _ = cut(dealt.join(shared, ["key", "deal"]).select("key", "sid", "n", "at"), "shingle-shared")
-    wanted = members.select("sid").distinct().join(once, "sid").select("sid", "of.h", "of.g")
-    wanted, _ = cut(wanted, "shingle-wanted")
-    # Only texts of such sets are taken apart again.
-    again = passing(texts, bit_filter(wanted.select(F.col("h").alias("no"))), F.col("h"))
-    whole = _sets(again, shingle, seed, None).join(wanted, ["sid", "h", "g"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "hashes")
-    sets, _ = cut(whole, "shingle-sets")
-    near = F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))
-    distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
     # What is found is written round by round, so that no plan grows with the rounds; they end when they take little away.
     found, left, more, before = [], members, None, None
     for i in range(rounds + 1):
@@ -168,21 +207,28 @@ def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed:
         fits = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
         # What both have from here on, and at most the smaller place's number of shingles before.
         room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-        pairs = pairs.where(fits & (room * 100 >= percent * (F.col("na") + F.col("nb") - room))).select("a", "b")
-        pairs, _ = cut(pairs.distinct(), "shingle-pairs")
+        pairs = pairs.where(fits & (room * 100 >= percent * (F.col("na") + F.col("nb") - room))).select("a", "b").distinct()
+        pairs, _ = cut(pairs, "shingle-pairs")
+        pairs, _ = cut(_least(pairs, sketches, percent).where("maybe").select("a", "b"), "shingle-maybe")
         more = pairs if more is None else more.unionByName(pairs)
         if last:
             break
-        to_pivot, _ = cut(_overlaps(large.where("sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), sets).select("a", "b", near.alias("near"), distance.alias("d")), "shingle-pivots")
+        to_pivot = large.where("sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+        to_pivot, _ = cut(_least(to_pivot, sketches, percent), "shingle-pivots")
+        # A bound will do for the distance of those that can't be linked to the pivot.
+        sure = _exact(to_pivot.where("maybe").select("a", "b"), texts, once, shingle, seed, percent)
+        to_pivot = sure.unionByName(to_pivot.where("NOT maybe").select("a", "b", F.lit(False).alias("near"), "d"))
         found.append(to_pivot.where("near").select("a", "b"))
         measured = large.where("sid != pivot").join(to_pivot.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "near", "d"), ["sid", "pivot"])
         ring = measured.where(~F.col("near")).select("key", F.col("sid").alias("b"), F.col("d").alias("db"))
         inner = measured.where("near").select("key", F.col("sid").alias("a"), F.col("d").alias("da"))
         crossed = inner.join(ring, "key").where(F.col("db") <= F.col("da") + (100 - percent) / 100 + 1e-9)
         crossed, _ = cut(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "shingle-crossed")
+        crossed, _ = cut(_least(crossed, sketches, percent).where("maybe").select("a", "b"), "shingle-maybe")
         more = more.unionByName(crossed)
         left, _ = cut(measured.where(~F.col("near")).select("key", "sid", "n", "at"), "shingle-left")
-    pairs = _overlaps(more.distinct(), sets).where(near).select("a", "b")
+    more, _ = cut(more.distinct(), "shingle-candidates")
+    pairs = _exact(more, texts, once, shingle, seed, percent).where("near").select("a", "b")
     for x in found:
         pairs = pairs.unionByName(x)
     # Repeats count for fingerprints, so one set can have several; rows of one fingerprint are linked anyhow.
