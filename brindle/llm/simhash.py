@@ -15,8 +15,8 @@ fingerprint, so copies are never expanded into pairs.
 
 Texts of a high shingle similarity can be many bits apart, so ``similarity`` adds links by the shingles themselves
 (``similar``). Sets whose Jaccard similarity is at least t share one of their first n - ceil(t n) + 1
-shingles in order of hashes: an equality join over these finds every such pair. Parity sketches of fixed size, which bound the similarity from above, rule
-most of the others out, and whole sets verify what is left. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
+shingles in order of hashes: an equality join over these finds every such pair. Parity sketches of a bit or so for each shingle, which bound the
+similarity from above, rule most of the others out, and whole sets verify what is left. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
 t of the pivot, which are linked to it, only those are compared with others that are at most d + 1 - t away from it.
 """
 
@@ -89,13 +89,13 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-#: Words of 64 bits in a parity sketch.
-_WORDS = 16
-
-
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bit b is set if an odd number of the hashes fall on b: two sketches differ in at most as many bits as the sets in members."""
-    odd = np.bincount(hashes & (64 * _WORDS - 1), minlength=64 * _WORDS) & 1
+    """Bit b is set if an odd number of the hashes fall on b: two sketches differ in at most as many bits as the sets in members.
+
+    There are 1024 bits, or the power of two that the number of hashes needs. A sketch folds to half its size by XOR.
+    """
+    bits = 1 << max(10, (len(hashes) - 1).bit_length())
+    odd = np.bincount(hashes & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -148,7 +148,11 @@ def _least(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     Sets differ in at least as many members as their sketches in bits, so the sizes bound what both share.
     """
     both = _both(pairs, sketches, "sketch")
-    bits = sum((F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_b")[i])) for i in range(_WORDS)), F.lit(0))
+    words = F.least(F.size("_a"), F.size("_b"))
+    word = lambda x, i: F.get(x, i).bitwiseXOR(F.when(F.size(x) > words, F.get(x, i + words)).otherwise(F.lit(0).cast("long")))
+    bits = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda t, i: t + F.bit_count(word("_a", i).bitwiseXOR(word("_b", i))))
+    # Sets of which one is more than twice as large are told apart by their sizes.
+    bits = F.when(F.greatest(F.size("_a"), F.size("_b")) <= 2 * words, bits).otherwise(0)
     twice, size = F.col("twice"), F.col("na") + F.col("nb")
     both = both.withColumn("twice", F.least(size - bits, 2 * F.least("na", "nb")))
     return both.select(*pairs.columns, (1 - twice / (2 * size - twice)).alias("d"), (twice * 100 >= percent * (2 * size - twice)).alias("maybe"))
