@@ -135,6 +135,41 @@ def test_similar_by_brute_force(spark, bucket):
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 4
 
 
+def test_similar_long_texts(spark):
+    # 1024 shingles are the most of the smallest sketch: pairs on both sides of that, of 2048, and far apart in size.
+    rnd, texts = random.Random(6), []
+    for size in (1040, 2100, 4500):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(size)]
+        for share in (1, 0.96, 0.85, 0.79, 0.5, 0.2):
+            texts.append(" ".join(base[: int(size * share)]))
+        texts.append(" ".join([*base[: int(size * 0.9)], *(f"x{rnd.randrange(3000)}" for _ in range(size // 9))]))
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if plain_jaccard(texts[a], texts[b]) >= 0.8]
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(range(len(texts)), near)
+
+
+def test_parity_bounds_the_difference(spark):
+    rnd, rows, pairs = np.random.default_rng(7), [], []
+    for i, (n, share) in enumerate([(1, 1), (30, 0), (500, 0.9), (1500, 0.7), (1500, 0.99), (5000, 0.85), (5000, 0.1)]):
+        a = np.unique(rnd.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.concatenate([a[: int(len(a) * share)], rnd.integers(-(2**63), 2**63 - 1, int(n * rnd.random() / 4) + 1)]))
+        for k, x in enumerate((a, b)):
+            rows.append((2 * i + k, len(x), simhash.parity(x).tolist()))
+        same = len(np.intersect1d(a, b))
+        pairs.append((2 * i + 1, 2 * i, 1 - same / (len(a) + len(b) - same)))
+    sketches = spark.createDataFrame(rows, "sid bigint, n int, sketch array<bigint>")
+    got = {r.a: r for r in simhash._least(spark.createDataFrame(pairs, "a bigint, b bigint, exact double"), sketches, 80).collect()}
+    assert len(got) == len(pairs) and all(r.d <= r.exact + 1e-9 and (r.maybe or r.exact > 0.2) for r in got.values())
+    assert not got[3].maybe and not got[13].maybe  # and it rules out
+
+
+def test_pairs_of_a_hub_meet_once(spark):
+    pairs = spark.range(1, 1202).selectExpr("id AS a", "IF(id > 1200, 1, 0) AS b").selectExpr("a", "CAST(b AS bigint) AS b")
+    side = spark.range(0, 1202).selectExpr("id AS sid", "CAST(id AS int) AS n", "array(id) AS x")
+    got = simhash._both(pairs, side, "x").collect()
+    assert sorted((r.a, r.b, r.na, r.nb, r._a, r._b) for r in got) == [(i, int(i > 1200), i, int(i > 1200), [i], [int(i > 1200)]) for i in range(1, 1202)]
+
+
 # ---- 2
 
 def plain_base(text):
