@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier one, up to edits that grow with its length. n_chars follows."""
+    """All documents, without the lines that repeat an earlier one, or from 20 characters on are one edit from it. n_chars follows."""
     out = line_dedup.dedup_lines(docs, carry=True)
     changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("doc.n_chars"))}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns])
