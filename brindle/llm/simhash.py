@@ -175,8 +175,8 @@ def _exact(pairs: DataFrame, texts: DataFrame, once: DataFrame, shingle: int, se
 def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed: int = 42, percent: int = 80, bucket: int = 32, rounds: int = 8, prefixes: DataFrame | None = None) -> DataFrame:
     """(a, b), b < a: fingerprints of texts whose shingle sets have a Jaccard similarity of at least ``percent``, enough to keep every connection.
 
-    Results mean the same for any ``bucket`` and ``rounds``: what the pivots leave in a large bucket is compared in pairs.
-    ``prefixes`` is what a pass over the texts has found already (h, fp, sid, n and hashes of each, of ``_sets``).
+    Results mean the same for any ``bucket`` and ``rounds``: what the pivots leave in a large bucket is compared in pairs, whose number grows with its square.
+    ``prefixes`` is what a pass over the texts has found already (h, g, fp, sid, n, sketch and hashes of each, of ``_sets``).
     """
     texts = docs.select(*text_hash(F.col(text_col).cast("string")), F.col(text_col).cast("string").alias("text"))
     if prefixes is None:
