@@ -279,7 +279,8 @@ def links(prints: DataFrame, *, max_bits: int = 2, bucket: int = 32) -> DataFram
     index = prints.select("fp", F.explode(entries).alias("e")).select("fp", F.col("e").bitwiseAND(F.lit((1 << _SIDE) - 1)).alias("key"), F.shiftright("e", _SIDE).cast("byte").alias("side"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
     sizes = sizes.where((F.col("n") > 1) & ((F.col("low") == 2) | (F.col("low") < F.col("high")))).select("key", "n")
-    shared, _ = cut(index.join(sizes, "key"), "simhash-shared")
+    # Spark takes an exploded side for as small as what it is exploded from, and would send all entries to the driver to broadcast them.
+    shared, _ = cut(index.join(sizes.hint("merge"), "key"), "simhash-shared")
     groups = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "side")).alias("m"))
     other = lambda y: F.when(F.col("x.side") == 2, y["fp"] < F.col("x.fp")).otherwise((F.col("x.side") == 1) & (y["side"] == 0))
     pairs = groups.select("m", F.explode("m").alias("x")).select(F.col("x.fp").alias("a"), F.explode(F.transform(F.filter("m", other), lambda y: y["fp"])).alias("b"))
@@ -301,7 +302,7 @@ def links(prints: DataFrame, *, max_bits: int = 2, bucket: int = 32) -> DataFram
         signatures = hot.select("fp", signature(F.col("bit"), F.col("bit")).alias("s")).unionByName(inner.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: signature(F.col("base") + j, F.col("base") + j))).alias("s")))
     signatures = signatures.select("fp", "s.*")
     lowest = signatures.groupBy("i", "j", "rest").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
-    stars = signatures.join(lowest, ["i", "j", "rest"]).where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
+    stars = signatures.join(lowest.hint("merge"), ["i", "j", "rest"]).where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
     every = pairs.unionByName(stars)
     return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 

@@ -93,6 +93,17 @@ def test_simhash_links(spark, bucket):
         simhash.links(spark.createDataFrame([(1,)], "fp bigint"), max_bits=3)
 
 
+def test_simhash_broadcasts(spark, monkeypatch, tmp_path):
+    """Entries and signatures, many rows for a fingerprint, are never collected to be broadcast, however small the prints' file is."""
+    plans, real = {}, simhash.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "cut", lambda df, name, *a: (plans.setdefault(name, plan(df)), real(df, name, *a))[1])
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/prints")
+    plans["links"] = plan(simhash.links(spark.read.parquet(f"{tmp_path}/prints")))
+    for name in ("simhash-shared", "links"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+
+
 def test_simhash_edges(spark):
     got = rows_of(simhash.near_duplicates(docs(spark)).select("doc_id", "component_id"))
     assert len(got) == len(EDGES)
