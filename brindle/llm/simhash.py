@@ -15,7 +15,8 @@ fingerprint, so copies are never expanded into pairs.
 
 Texts of a high shingle similarity can be many bits apart, so ``similarity`` adds links by the shingles themselves
 (``similar``). Sets whose Jaccard similarity is at least t share one of their first n - ceil(t n) + 1
-shingles in order of hashes: an equality join over these finds every such pair. Parity sketches of a bit or so for each shingle, which bound the
+shingles in any one order of all shingles: an equality join over these finds every such pair. The order is by how many
+texts have a shingle, rare ones first, as counted in cells of fixed number, so that texts seldom meet by a common phrase. Parity sketches of a bit or so for each shingle, which bound the
 similarity from above, rule most of the others out, and whole sets verify what is left. Buckets of over 32 sets are taken apart by pivots: Jaccard distance is a metric, so of the sets at distance d <= 1 -
 t of the pivot, which are linked to it, only those are compared with others that are at most d + 1 - t away from it.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import pack, unpack
 from .common import bit_filter, carried, connected_components, cut, heavy_keys, passing, remove_path
 
 _BITS, _HALF, _LOW = 64, 32, (1 << 32) - 1
@@ -85,6 +87,40 @@ def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle, seed).view(np.int64))
 
 
+#: Bits of a hash that name its cell, and parts in which cells are summed.
+_CELL_BITS, _CELL_PARTS = 23, 64
+
+
+def _grade(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that keep their order: as they are up to 127, by eighths of a doubling from there."""
+    return np.where(counts < 128, counts, np.minimum(127 + 8 * np.log2(np.maximum(counts, 127) / 127), 255)).astype(np.uint8)
+
+
+def rarity(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """For each cell of shingle hashes a byte that grows with the number of texts (the last column) that have such a shingle."""
+    cells = 1 << _CELL_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for x in batch.column(batch.num_columns - 1).cast(pa.binary()):
+                np.add.at(total, shingle_set(x.as_py() or b"", shingle, seed) & (cells - 1), 1)
+        if total.any():
+            packed = [pack(part) for part in np.split(total, _CELL_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CELL_PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(cells // _CELL_PARTS, np.int64)
+        for x in table["counts"]:
+            total += unpack(x.as_py(), np.uint32)
+        return pa.table({"part": table["part"][:1], "grades": pa.array([_grade(total).tobytes()], pa.binary())})
+
+    out = np.zeros((_CELL_PARTS, cells // _CELL_PARTS), np.uint8)
+    for row in texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, grades binary").toLocalIterator():
+        out[row.part] = np.frombuffer(row.grades, np.uint8)
+    return out.reshape(-1)
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -102,10 +138,12 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, shingle: int, seed: int, percent: int | None) -> DataFrame:
     """(..., fp, sid, n, sketch, hashes) for each row of docs, whose last column is text: sid names the set of shingles, n is its size.
 
-    hashes is the prefix for ``percent``; without that it is the whole set.
+    hashes is the prefix for ``percent``, rare shingles first; without that it is the whole set.
     """
     from xxhash import xxh64_intdigest as digest
 
+    grades = None if percent is None else docs.sparkSession.sparkContext.broadcast(rarity(docs, shingle, seed))
+
     added = [("fp", T.LongType(), pa.int64()), ("sid", T.LongType(), pa.int64()), ("n", T.IntegerType(), pa.int32())]
     added += [(name, T.ArrayType(T.LongType()), pa.list_(pa.int64())) for name in ("sketch", "hashes")]
 
@@ -116,7 +154,9 @@ def _sets(docs: DataFrame, shingle: int, seed: int, percent: int | None) -> Data
                 every = shingle_hashes(x.as_py() or b"", shingle, seed)
                 hashes = np.unique(every.view(np.int64))
                 sid = np.uint64(digest(hashes.tobytes(), seed)).view(np.int64)
-                sent = hashes if percent is None or not len(hashes) else hashes[: _prefix(len(hashes), percent)]
+                sent = hashes
+                if grades is not None and len(hashes):
+                    sent = hashes[np.argsort(grades.value[hashes & (len(grades.value) - 1)], kind="stable")[: _prefix(len(hashes), percent)]]
                 rows.append((print_of(every), sid, len(hashes), parity(hashes), sent))
             found = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], *(name for name, _, _ in added)])
@@ -194,24 +234,27 @@ def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed:
     dealt = dealt.select("key", "sid", "n", "at", F.when(F.col("hot"), F.pmod("sid", F.lit(64))).otherwise(-1).cast("byte").alias("deal"))
     dealt = dealt.repartition("key", "deal")  # the one shuffle of the index; both uses below read it
     shared = dealt.groupBy("key", "deal").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("deal >= 0 OR low < high").select("key", "deal")
-    members, _ = cut(dealt.join(shared, ["key", "deal"]).select("key", "sid", "n", "at"), "shingle-shared")
+    members, _ = cut(dealt.join(shared.hint("merge"), ["key", "deal"]).select("key", "sid", "n", "at"), "shingle-shared")
     # What is found is written round by round, so that no plan grows with the rounds; they end when they take little away.
+    # Both sets of a pair hold all that they share from the first shingle on that they share, so a pair is looked for at
+    # places that leave enough. In the smaller set that is an early place (of one that can pair with a set as large).
+    early = (F.col("n") - F.col("at")) * (100 + percent) >= 2 * percent * F.col("n")
     found, left, more, before = [], members, None, None
     for i in range(rounds + 1):
-        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("sid").alias("pivot"))
-        sized = left.join(sizes.where("size > 1"), "key")
-        large = sized.where(F.col("size") > bucket)
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.count(F.when(early, 1)).alias("early"), F.min("sid").alias("pivot"))
+        sized = left.join(sizes.where("size > 1 AND early > 0"), "key")
+        many = F.col("early") * F.col("size") > bucket * bucket
+        large = sized.where(many)
         now = large.count()
         last = i == rounds or now == 0 or before is not None and 4 * now > 3 * before
         before = now
         # Pairs by the key; those that sizes and places rule out are left out.
-        small = sized if last else sized.where(F.col("size") <= bucket)
-        of = lambda c: small.select("key", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"p{c}"))  # noqa: E731, B023
-        pairs = of("a").join(of("b"), "key").where("a > b")
-        fits = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
-        # What both have from here on, and at most the smaller place's number of shingles before.
-        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-        pairs = pairs.where(fits & (room * 100 >= percent * (F.col("na") + F.col("nb") - room))).select("a", "b").distinct()
+        small = sized if last else sized.where(~many)
+        of = lambda c: small.select("key", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"p{c}"), early.alias(f"e{c}"))  # noqa: E731, B023
+        pairs = of("a").join(of("b").where(F.col("eb")), "key").where("na > nb OR na = nb AND a > b")
+        fits = F.col("nb") * 100 >= percent * F.col("na")
+        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        pairs = pairs.where(fits & (room * (100 + percent) >= percent * (F.col("na") + F.col("nb")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs, _ = cut(pairs, "shingle-pairs")
         pairs, _ = cut(_least(pairs, sketches, percent).where("maybe").select("a", "b"), "shingle-maybe")
         more = pairs if more is None else more.unionByName(pairs)

@@ -104,6 +104,25 @@ def test_simhash_broadcasts(spark, monkeypatch, tmp_path):
         assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
 
 
+def test_similar_common_phrase(spark, monkeypatch):
+    """Texts that share a phrase, and are otherwise different, aren't compared in pairs; near copies among them are found."""
+    counts, real = {}, simhash.cut
+
+    def counted(df, name, *a):
+        out = real(df, name, *a)
+        counts[name] = counts.get(name, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    phrase = " ".join(f"common{i}" for i in range(14))
+    texts = [phrase + " " + " ".join(f"w{t}x{i}" for i in range(50)) for t in range(150)]
+    texts += [texts[t] + " more" for t in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pairs = simhash.similar(rows).count()
+    assert pairs == 10
+    assert sum(n for name, n in counts.items() if name in ("shingle-pairs", "shingle-pivots", "shingle-crossed")) < 100
+
+
 def test_simhash_edges(spark):
     got = rows_of(simhash.near_duplicates(docs(spark)).select("doc_id", "component_id"))
     assert len(got) == len(EDGES)
