@@ -252,9 +252,10 @@ def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed:
         small = sized if last else sized.where(~many)
         of = lambda c: small.select("key", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"p{c}"), early.alias(f"e{c}"))  # noqa: E731, B023
         pairs = of("a").join(of("b").where(F.col("eb")), "key").where("na > nb OR na = nb AND a > b")
-        fits = F.col("nb") * 100 >= percent * F.col("na")
+        fits = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
         room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        pairs = pairs.where(fits & (room * (100 + percent) >= percent * (F.col("na") + F.col("nb")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        fits = fits & (room * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+        pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs, _ = cut(pairs, "shingle-pairs")
         pairs, _ = cut(_least(pairs, sketches, percent).where("maybe").select("a", "b"), "shingle-maybe")
         more = pairs if more is None else more.unionByName(pairs)
@@ -267,9 +268,9 @@ def similar(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed:
         to_pivot = sure.unionByName(to_pivot.where("NOT maybe").select("a", "b", F.lit(False).alias("near"), "d"))
         found.append(to_pivot.where("near").select("a", "b"))
         measured = large.where("sid != pivot").join(to_pivot.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "near", "d"), ["sid", "pivot"])
-        ring = measured.where(~F.col("near")).select("key", F.col("sid").alias("b"), F.col("d").alias("db"))
-        inner = measured.where("near").select("key", F.col("sid").alias("a"), F.col("d").alias("da"))
-        crossed = inner.join(ring, "key").where(F.col("db") <= F.col("da") + (100 - percent) / 100 + 1e-9)
+        ring = measured.where(~F.col("near")).select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("d").alias("db"))
+        inner = measured.where("near").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("d").alias("da"))
+        crossed = inner.join(ring, "key").where(fits & (F.col("db") <= F.col("da") + (100 - percent) / 100 + 1e-9))
         crossed, _ = cut(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "shingle-crossed")
         crossed, _ = cut(_least(crossed, sketches, percent).where("maybe").select("a", "b"), "shingle-maybe")
         more = more.unionByName(crossed)
