@@ -295,6 +295,8 @@ def _halves(fp) -> tuple:
 
 #: A packed entry: side (0 or 1, the deleted bit; 2 for a whole segment) | kind | deleted bit | what is left.
 _SIDE, _KIND, _BIT = 60, 37, 32
+#: Fingerprints whose entries one task makes.
+_DEALT = 1 << 13
 
 
 def _entries(segment, number: int) -> list:
@@ -319,6 +321,8 @@ def links(prints: DataFrame, *, max_bits: int = 2, bucket: int = 32) -> DataFram
     fp = F.col("fp")
     if max_bits == 0:
         return prints.select(fp.alias("a"), fp.alias("b")).where(F.lit(False))
+    # A task makes 66 entries of each of its fingerprints and holds their counts, so tasks follow the fingerprints, not the files.
+    prints = prints.repartition(prints.count() // _DEALT + 1, "fp")
     entries = F.array(*[e for number, segment in _halves(fp) for e in _entries(segment, number)])
     index = prints.select("fp", F.explode(entries).alias("e")).select("fp", F.col("e").bitwiseAND(F.lit((1 << _SIDE) - 1)).alias("key"), F.shiftright("e", _SIDE).cast("byte").alias("side"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))

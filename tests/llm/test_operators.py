@@ -104,6 +104,16 @@ def test_simhash_broadcasts(spark, monkeypatch, tmp_path):
         assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
 
 
+def test_simhash_entries_in_parts(spark, monkeypatch, tmp_path):
+    """However few files the prints have, a task makes and holds the entries of so many of them."""
+    plans, real = [], simhash.cut
+    monkeypatch.setattr(simhash, "_DEALT", 100, raising=False)
+    monkeypatch.setattr(simhash, "cut", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *a))[1])
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).coalesce(1).write.parquet(f"{tmp_path}/prints")
+    assert simhash.links(spark.read.parquet(f"{tmp_path}/prints")).count() == 0
+    assert re.findall(r"Exchange hashpartitioning\(fp#\d+L, (\d+)\), REPARTITION_BY_NUM", plans[0]) == ["11", "11"]
+
+
 def test_similar_common_phrase(spark, monkeypatch):
     """Texts that share a phrase, and are otherwise different, aren't compared in pairs; near copies among them are found."""
     counts, real = {}, simhash.cut
