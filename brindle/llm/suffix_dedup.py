@@ -5,8 +5,8 @@ the 24-byte strings in it, so equal windows have equal names, and a name that on
 Shorter strings than these are shared by documents that have nothing but a phrase in common.
 The windows with other names, as runs of one name, go to the shard that owns the name; equal runs go once for each
 block, with the least document id. A shard sorts all suffixes of its distinct runs: suffixes are classified, leftmost
-smaller ones (LMS) bucketed, their substrings sorted by induction and named, recursively while names repeat, and the whole array
-is induced from them in linear time. The permuted common prefixes (each suffix with its predecessor in the array, in
+smaller ones (LMS) bucketed, their substrings sorted in words and named, told apart where names repeat by doubling what
+is ranked, and the whole array is induced from them in linear time. The permuted common prefixes (each suffix with its predecessor in the array, in
 text order) tell where 50 bytes agree; neighbours that do form a group with a least document id, and each block gets
 these ids for its windows. A window whose least id is smaller than its document's is removed.
 
@@ -52,7 +52,7 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _grouped(chars: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stable order by symbol, the place of each within its symbol, and counts."""
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars.astype(np.uint16) if size <= 1 << 16 else chars, kind="stable")  # NumPy sorts 16 bits by radix
     counts = np.bincount(chars, minlength=size)
     within = np.arange(len(chars)) - (np.cumsum(counts) - counts)[chars[order]]
     return order, within, counts
@@ -161,6 +161,29 @@ def _sorted_substrings(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size:
         k += per
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix array of LMS substrings by their names, of which the last is unique: ranks by h names tell 2 h names apart.
+
+    Only suffixes that tie are looked at again, all of them at once, so a repeat of n names takes log n rounds.
+    """
+    n, h = len(names), 1
+    order = np.argsort(names, kind="stable")
+    left, keys, rank = np.arange(n), names[order], np.empty(n, np.int64)
+    while True:
+        new = np.ones(len(left), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        # A suffix ranks at the first place of those that it ties with, none of which reaches the end within h names.
+        rank[order[left]] = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+        left = left[~(new & np.append(new[1:], True))]
+        if not len(left):
+            return order
+        which = order[left]
+        keys = rank[which] * n + rank[which + h]
+        again = np.argsort(keys)
+        order[left], keys = which[again], keys[again]
+        h *= 2
+
+
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of symbols below ``size``, of which the last is smaller than all others and unique."""
     n = len(t)
@@ -174,63 +197,33 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         name_of = np.empty(n, np.int64)
         name_of[order] = names
-        order = lms[suffix_array(name_of[lms], int(names[-1]) + 1)]
-    if size > 4096 and n > size // 64:
-        return _induce_list(t, small, order, size)
+        order = lms[_doubled(name_of[lms])]
     return _induce(t, small, order, size)
 
 
-def _induce_list(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """The same as ``_induce`` by lists, for texts of many symbols, where batches would be short."""
-    n = len(t)
-    before = np.arange(-1, n - 1)
-    # What stands before each suffix, if that is larger (smaller) than the suffix after it; the end otherwise.
-    larger = np.where(small[before], n, before)
-    smaller = np.where(small[before], before, n)
-    larger[0] = smaller[0] = n
-    counts = np.bincount(t, minlength=size)
-    ends = np.cumsum(counts)
-    filled = np.full(n + 1, -1, np.int64)
-    o, within, found = _grouped(t[lms], size)
-    filled[(ends - found)[t[lms[o]]] + within] = lms[o]
-    sa, symbols = filled.tolist(), t.tolist()
-    # Empty places hold -1, for which the lists' last elements say that nothing stands before.
-    larger, smaller, heads = [*larger.tolist(), n], [*smaller.tolist(), n], (ends - counts).tolist()
-    for i in sa:
-        j = larger[i]
-        if j < n:
-            c = symbols[j]
-            h = heads[c]
-            sa[h] = j
-            heads[c] = h + 1
-    tails = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        j = smaller[sa[k]]
-        if j < n:
-            c = symbols[j]
-            tails[c] = h = tails[c] - 1
-            sa[h] = j
-    return np.array(sa[:n], np.int64)
-
-
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each place the common prefix with the suffix before it in the array, up to ``most``; 0 for the first."""
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    # Four symbols a word. Ends differ: the padding is no symbol, and two places don't reach it together.
-    pad = np.concatenate([t, np.full(most + 8, t.max() + 1, t.dtype)]).astype(np.uint64)
-    words = pad[:-3] | pad[1:-2] << np.uint64(16) | pad[2:-1] << np.uint64(32) | pad[3:] << np.uint64(48)
+    # Some symbols a word. Ends differ: the padding is no symbol, and two places don't reach it together.
+    width = (int(t.max()) + 1).bit_length()
+    per = 63 // width
+    pad = np.concatenate([t, np.full(most + 2 * per, t.max() + 1, t.dtype)]).astype(np.uint64)
+    words = pad[: len(pad) - per + 1].copy()
+    for k in range(1, per):
+        words |= pad[k : len(pad) - per + 1 + k] << np.uint64(k * width)
     left = np.flatnonzero(before >= 0)
-    for k in range(0, most, 4):
-        differ = words[left + k] ^ words[before[left] + k]
+    other = before[left]
+    for k in range(0, most, per):
+        differ = words[left + k] ^ words[other + k]
         equal = differ == 0
-        ends = left[~equal]
         low = differ[~equal]
-        out[ends] += np.where(low & np.uint64(0xFFFF), 0, np.where(low & np.uint64(0xFFFFFFFF), 1, np.where(low & np.uint64(0xFFFFFFFFFFFF), 2, 3)))
-        left = left[equal]
-        out[left] += 4
+        # The lowest bit that differs tells the symbol; a power of two is exact as a float.
+        out[left[~equal]] += np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) // width
+        left, other = left[equal], other[equal]
+        out[left] += per
     return np.minimum(out, most)
 
 

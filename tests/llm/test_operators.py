@@ -454,6 +454,25 @@ def test_suffix_array():
             assert common[b] == n
 
 
+def test_suffix_array_of_repeats(monkeypatch):
+    """Substrings that tie, as in copies of one text, are told apart by rounds over all of them: not level by level."""
+    calls, real = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda *a: (calls.append(1), real(*a))[1])
+    rnd = random.Random(5)
+    for size in (2, 4, 250):
+        symbols = [rnd.randrange(size) + 1 for _ in range(90)] * 9 + [0]
+        assert suffix_dedup.suffix_array(np.array(symbols), 258).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+    assert len(calls) == 3
+    # Prefixes over the ends of words of several symbols, for narrow and wide symbols.
+    for top in (1, 257, 70_000):
+        for same in range(30):
+            t = np.array([top] * same + [1 + (top == 1)] + [top] * same + [0])
+            want = np.array(sorted(range(len(t)), key=lambda i: t[i:].tolist()))
+            common = suffix_dedup.permuted_prefixes(t, want, 25)
+            for a, b in zip(want, want[1:]):
+                assert common[b] == next(n for n in range(26) if n == 25 or max(a, b) + n >= len(t) or t[a + n] != t[b + n])
+
+
 def plain_dedup(rows, width):
     first: dict = {}
     order = sorted(((suffix_dedup._NULL if i is None else i), (t or "").encode()) for i, t in rows)
