@@ -236,6 +236,12 @@ def bpe(path: str) -> Bpe:
     return _BPES[path]
 
 
+def forget() -> None:
+    """Drop what this worker keeps between tasks, for operators that need the memory; it is made again when asked for."""
+    while _BPES:
+        _BPES.popitem()[1].db.close()
+
+
 RESULTS = {
     "n_tokens": (T.LongType(), lambda ids, octets: len(ids)),
     "ids": (T.ArrayType(T.IntegerType()), lambda ids, octets: ids.tolist()),

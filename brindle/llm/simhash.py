@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import pack, unpack
+from .bpe import forget
 from .common import bit_filter, carried, connected_components, cut, heavy_keys, passing, remove_path
 
 _BITS, _HALF, _LOW = 64, 32, (1 << 32) - 1
@@ -101,6 +102,7 @@ def rarity(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
     cells = 1 << _CELL_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(cells, np.uint32)
         for batch in batches:
             for x in batch.column(batch.num_columns - 1).cast(pa.binary()):
@@ -148,6 +150,7 @@ def _sets(docs: DataFrame, shingle: int, seed: int, percent: int | None) -> Data
     added += [(name, T.ArrayType(T.LongType()), pa.list_(pa.int64())) for name in ("sketch", "hashes")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows = []
             for x in batch.column(batch.num_columns - 1).cast(pa.binary()):

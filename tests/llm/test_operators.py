@@ -328,6 +328,20 @@ def test_bpe_edges(spark, sf_dir):
     assert bpe.encode(docs(spark, []), path).count() == 0
 
 
+def test_bpe_leaves_no_model():
+    """A worker's model goes when near-dedup needs the memory, and comes back with the same ids."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    before = bpe.bpe(path)
+    told = [(ids.tolist(), octets) for ids, octets in before.encode(["some words", "é 🙂"])]
+    bpe.forget()
+    assert not bpe._BPES
+    with pytest.raises(Exception, match="closed"):
+        before.db.sql("SELECT 1")
+    assert [(ids.tolist(), octets) for ids, octets in bpe.bpe(path).encode(["some words", "é 🙂"])] == told
+
+
 def test_op4_query(spark, sf_dir):
     _, library = tiktoken_of()
     texts = dict(sources(spark, sf_dir))
